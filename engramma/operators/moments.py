@@ -15,7 +15,8 @@ def normalise_moments(values: DataFrame, zones: DataFrame | None = None) -> Data
     Result: distinct (field, rec_id, item_key, norm_value). Values that denote no date or time, nulls and blanks among
     them, give no row; an empty table gives an empty result; ``source_id`` may be null.
     """
-    parsed = values.select("field", "rec_id", "item_key", "source_id", moment_parts("value").alias("parts")).where("parts is not null")
+    # explode drops the nulls; a filter would be pushed below and have the long expression made twice
+    parsed = values.select("field", "rec_id", "item_key", "source_id", F.explode(F.array_compact(F.array(moment_parts("value")))).alias("parts"))
     # one exchange by record serves the removal of repeats, too; it also keeps the cascade and the rest apart, each small enough to compile
     parsed = parsed.repartition("rec_id")
     if zones is None:
@@ -23,8 +24,8 @@ def normalise_moments(values: DataFrame, zones: DataFrame | None = None) -> Data
     else:
         homes = zones.groupBy("source_id").agg(F.min("home_tz").alias("home_tz"))
         parsed = parsed.join(homes, "source_id", "left")
-    out = with_moment(parsed, "parts", "home_tz", "norm_value").select("field", "rec_id", "item_key", "norm_value")
-    return out.where("norm_value is not null").distinct()
+    out = with_moment(parsed, "parts", "home_tz", "norm_value")
+    return out.select("field", "rec_id", "item_key", F.explode(F.array_compact(F.array("norm_value"))).alias("norm_value")).distinct()
 
 
 def memory_moments(fact: DataFrame, locomo: DataFrame, longmem: DataFrame) -> DataFrame:

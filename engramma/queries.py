@@ -33,3 +33,5 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_paths": p4_paths}
 ORACLES: dict[str, str] = {}
+
+FLAGSHIP = "p4_found"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -69,3 +70,14 @@ def local_spark(cores: int | str = "*", **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of ``spark``, once a session; they may not share the driver's path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_engramma_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    packed = shutil.make_archive(os.path.join(_own_dir(), "engramma-src"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(packed)
+    sc._engramma_shipped = True
