@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramma.llm.pii import find_pii, gazetteers, redacted
+from engramma.llm.residue import excluded, residue
 from engramma.operators.nested import dialogue_turns, haystack_turns
 from engramma.session import table
 
@@ -35,5 +36,13 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(texts, find_pii(spark, texts, given, family))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return excluded(table(spark, d, "documents"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES: dict[str, str] = {}
