@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramma.llm.leaks import leaks
 from engramma.llm.pii import find_pii, gazetteers, redacted
 from engramma.llm.residue import excluded, residue
 from engramma.operators.nested import dialogue_turns, haystack_turns
@@ -36,6 +37,10 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(texts, find_pii(spark, texts, given, family))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return excluded(table(spark, d, "documents"))
 
@@ -44,5 +49,5 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES: dict[str, str] = {}
