@@ -31,7 +31,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
         "This is placeholder text. Replace it with the session summary.",
         "Sample text goes here. Second paragraph of sample text.",
-        "Text to follow. Content coming soon. Insert your text here. Add your notes here. Dummy text.",
+        "Text to follow. Content coming soon. Insert your text here. Add your notes here. Dummy text for layout purposes only.",
         "asdf asdf jkl qwerty qwertz xxx blah foo bar baz",
         "test test test 9. please ignore",
         "Hier steht Blindtext, der später durch die Zusammenfassung ersetzt wird. Platzhaltertext.",
@@ -55,6 +55,8 @@ EXEMPLARS: dict[str, list[str]] = {
         "Access denied. You do not have permission to view this transcript. Reference #ref",
         "Your session has expired. Please sign in again to continue. Log in again.",
         'Traceback (most recent call last): File "/srv/app/export.py", line 9, in load return sessions[key]',
+        "This shared chat has been deleted or is no longer available.",
+        "Acceso denegado. Accès refusé. Zugriff verweigert. Conexión rechazada. Page non trouvée. Página no disponible. Seite nicht verfügbar.",
         "We're sorry, the summary could not be generated. Votre session a expiré, veuillez vous reconnecter. Ihre Sitzung ist abgelaufen, bitte melden Sie sich erneut an. Su sesión ha caducado, inicie sesión de nuevo.",
         "TimeoutError KeyError ConnectionError ValueError TypeError IndexError RuntimeError: session_9",
         '{"error": {"code": 9, "message": "Not Found", "request_id": "9", "status": 9, "type": "error", "details": null}}',
