@@ -132,8 +132,8 @@ def _emails(text: str) -> Iterator[Span]:
         )
 
 
-def _numbers(text: str) -> Iterator[Span]:
-    for m in _SPOKEN.finditer(text):
+def _numbers(text: str, spoken: bool) -> Iterator[Span]:
+    for m in _SPOKEN.finditer(text) if spoken else ():
         near = text[max(0, m.start() - 30) : m.start()] + " " + text[m.end() : m.end() + 25]
         yield "phone", m.start(), m.end(), _votes(1, 1, 1 if _PHONE_NEAR.search(near) else 0, -1 if _OTHER_NEAR.search(near) else 0, 1), "words"
     for m in _NUMBER.finditer(text):
@@ -176,8 +176,17 @@ class Names:
     def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
         self.given, self.family = given, family
         self.common = _COMMON_GIVEN
+        self.roles: dict[str, str] = {}
 
     def _role(self, word: str) -> str:
+        role = self.roles.get(word)
+        if role is None:
+            if len(self.roles) > 500_000:
+                self.roles.clear()
+            role = self.roles[word] = self._role_of(word)
+        return role
+
+    def _role_of(self, word: str) -> str:
         p = plain(word)
         parts = p.split("-")
         if p in _TITLE:
@@ -193,6 +202,8 @@ class Names:
     def find(self, text: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
         words = [(m.group().rstrip("."), m.start(), m.start() + len(m.group().rstrip(".")), m.group().endswith(".")) for m in _TOKEN.finditer(text)]
         roles = [self._role(w[0]) for w in words]
+        if "g" not in roles and "t" not in roles and "f" not in roles:
+            return
         done: set[int] = set()
         for i, role in enumerate(roles):
             if role not in "gtif" or i in done:
@@ -264,17 +275,61 @@ class Names:
                 yield i, i + 1, "family,given"
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+_KINDS = set(_KIND_EN[3:-1].split("|")) | {"rue", "chemin", "impasse", "av", "bd", "place", "quai", "allée", "cours", "passage", "route", "sentier", "calle", "c", "avenida", "avda", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carrera"} | {"am", "an", "im", "auf", "zum", "zur", "beim", "hinter", "unter"}
+_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "chaussee")
+_SAYS = set(_WORD[3:-1].split("|"))
+_NEAR_WORDS = set("name called for with met thanks regards from grüße cordialement saludos was termin avec cita heiße heißt llamo llama llamas appelle nom nombre signed".split())
+_MEMO_MAX = 500_000
+
+
+class Finder:
+    """Candidate spans of texts. What a word can begin or take part in is looked up once a word, so that the patterns run
+    only over texts that can hold a span of the type."""
+
+    NAME, STREET, SAID, GIVEN, NEAR = 1, 2, 4, 8, 16
+
+    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
+        self.names = Names(given, family)
+        self.memo: dict[str, int] = {}
+
+    def _flags(self, word: str) -> int:
+        low, flat = word.lower(), plain(word)
+        named = flat in self.names.family or flat in _TITLE
+        given = self.GIVEN * (flat in self.names.given) + self.NEAR * (low in _NEAR_WORDS)
+        out = given | (self.NAME if named else 0) | (self.STREET if low in _KINDS or low.endswith(_ENDS) else 0) | (self.SAID if low in _SAYS else 0)
+        if len(self.memo) > _MEMO_MAX:
+            self.memo.clear()
+        self.memo[word] = out
+        return out
+
+    def spans(self, text: str) -> list[Span]:
+        """The candidate spans of one text: (type, start, stop, votes, shape), at most one a place and type."""
+        memo, all_flags, said = self.memo, 0, 0
+        for w in _WORDS.findall(text):
+            f = memo.get(w)
+            if f is None:
+                f = self._flags(w)
+            if f:
+                all_flags |= f
+                said += f & self.SAID > 0
+        out: list[Span] = []
+        if "@" in text or "[at]" in text or "(at)" in text or " dot " in text or " DOT " in text or "(AT)" in text or "[AT]" in text:
+            out += _emails(text)
+        taken = [(s, e) for _, s, e, v, _ in out if v[0] == "+"]
+        digits = sum(map(text.count, "0123456789"))
+        if digits >= 5 or said >= 6:
+            out += [c for c in _numbers(text, said >= 6) if not any(a < c[2] and c[1] < b for a, b in taken)]
+        if digits and all_flags & self.STREET:
+            out += _streets(text)
+        if all_flags & self.NAME or all_flags & self.GIVEN and all_flags & self.NEAR and _NAME_NEAR.search(text):
+            out += self.names.find(text, taken)
+        return out
+
+
 def spans(text: str, names: Names) -> list[Span]:
-    """The candidate spans of one text: (type, start, stop, votes, shape), at most one a place and type."""
-    out: list[Span] = []
-    low = text.lower()
-    if "@" in text or "[at]" in low or "(at)" in low or " dot " in low:
-        out += _emails(text)
-    taken = [(s, e) for _, s, e, v, _ in out if v[0] == "+"]
-    out += [c for c in _numbers(text) if not any(a < c[2] and c[1] < b for a, b in taken)]
-    out += _streets(text)
-    out += names.find(text, taken)
-    return out
+    """The same for a single text."""
+    return Finder(names.given, names.family).spans(text)
 
 
 # --- models --------------------------------------------------------------------------------------------------------
@@ -350,12 +405,12 @@ def candidates(texts: DataFrame, given: frozenset[str], family: frozenset[str])
     """Candidate spans of (tbl, rec_id, turn_key, text), with votes; null and empty texts have none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(given, family)
+        finder = Finder(given, family)
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             keys = [batch.column(i).to_pylist() for i in range(3)]
             for row, text in enumerate(batch.column(3).to_pylist()):
-                for t, s, e, v, shape in spans(text, names):
+                for t, s, e, v, shape in finder.spans(text):
                     for c, x in zip(cols, (keys[0][row], keys[1][row], keys[2][row], t, s, e, v, shape), strict=True):
                         c.append(x)
             types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()] * 2
