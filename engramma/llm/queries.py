@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engramma.llm.leaks import leaks
 from engramma.llm.names import link_names
+from engramma.llm.packing import packed
 from engramma.llm.pii import find_pii, gazetteers, redacted
 from engramma.llm.residue import excluded, residue
 from engramma.operators.nested import dialogue_turns, haystack_turns
@@ -42,6 +43,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return link_names(spark, table(spark, d, "codebook"), table(spark, d, "entity"), table(spark, d, "fact"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packed(table(spark, d, "documents"), table(spark, d, "pack_spec"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -54,5 +59,5 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES: dict[str, str] = {}
