@@ -25,10 +25,10 @@ def documents(fact: DataFrame, line: DataFrame) -> DataFrame:
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """(g, stem, df, idf): in how many documents of a codebook a stem occurs, and ln(1 + (N + 1) / (df + 1))."""
+    """(g, stem, df, idf, n_docs): in how many documents of a codebook a stem occurs, and ln(1 + (N + 1) / (df + 1))."""
     n = docs.groupBy("g").agg(F.count("*").alias("n_docs"))
     df = docs.select("g", F.explode(F.array_distinct("toks")).alias("stem")).groupBy("g", "stem").agg(F.count("*").alias("df"))
-    return df.join(n, "g").select("g", "stem", "df", F.log(1 + (F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
+    return df.join(n, "g").select("g", "stem", "df", F.log(1 + (F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"), "n_docs")
 
 
 def average_length(docs: DataFrame) -> DataFrame:
