@@ -65,9 +65,9 @@ class Catalog:
         g = F.col("codebook_id").alias("g")
         empty = lambda c: F.coalesce(F.col(c), F.lit(""))
         topics = topic.where("code is not null").groupBy(g, "code").agg(F.max(empty("status")).alias("status"), F.max(empty("born")).alias("born"))
-        edges = topic.where("code is not null").select(g, norm_code(F.explode("parents")).alias("parent"), F.col("code").alias("child")).where("parent <> ''").distinct()
+        edges = topic.where("code is not null").select(g, F.explode("parents").alias("p"), F.col("code").alias("child")).select("g", norm_code("p").alias("parent"), "child").where("parent <> ''").distinct()
         entities = entity.where("code is not null").groupBy(g, "code").agg(F.max(empty("etype")).alias("etype"), F.max(empty("name")).alias("name"))
-        aliases = entity.select(g, norm_code(F.explode("aliases")).alias("surface"), "code").where("surface <> '' and surface <> code").distinct()
+        aliases = entity.select(g, F.explode("aliases").alias("a"), "code").select("g", norm_code("a").alias("surface"), "code").where("surface <> '' and surface <> code").distinct()
         units = unit.select(g, "id", empty("date").alias("date"), empty("t").alias("t"), empty("title").alias("title"), F.coalesce("dur_min", F.lit(0)).alias("dur_min"), F.coalesce("n_lines", F.lit(0)).alias("n_lines")).distinct()
         speakers = codebook.select(g, F.explode(F.split(F.lower("speakers"), r"\s+")).alias("who")).where("who <> ''").distinct()
         return cls(facts(fact), lines(line), units, topics, edges, entities, aliases, speakers)

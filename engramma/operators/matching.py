@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from engramma.catalog import Catalog
 from engramma.functions.dates import conf_rank, in_window
 from engramma.operators.vocabulary import closure
+from engramma.session import cut
 
 #: Filters in the order in which they are given up.
 RELAX = ["grep", "event", "obj", "kind", "place", "who", "entities", "time", "topics"]
@@ -158,7 +159,8 @@ def typed_only(c: Catalog, j: DataFrame) -> DataFrame:
 
 def matched(c: Catalog, req: DataFrame, axes: tuple[str, ...] = AXES, legal_kinds: list[str] | None = None, typed: bool = True) -> DataFrame:
     """The facts of each request after relaxation: those that fit at the least step at which any fact of the codebook does."""
-    j = first_steps(c, expanded(c, prune(c, requests(req), axes), axes), legal_kinds)
+    # a few rows a codebook, made by many joins: made once
+    j = first_steps(c, cut(expanded(c, cut(prune(c, requests(req), axes)), axes)), legal_kinds)
     if typed:
         j = typed_only(c, j)
     least = F.min("step").over(W.partitionBy("qid", "g"))
