@@ -404,8 +404,10 @@ def _bounded(df: DataFrame) -> list:
 def candidates(texts: DataFrame, given: frozenset[str], family: frozenset[str]) -> DataFrame:
     """Candidate spans of (tbl, rec_id, turn_key, text), with votes; null and empty texts have none."""
 
+    shared = texts.sparkSession.sparkContext.broadcast((given, family))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given, family)
+        finder = Finder(*shared.value)
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             keys = [batch.column(i).to_pylist() for i in range(3)]
