@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -49,11 +48,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it holds at most ``rows`` rows, else unchanged, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def local_spark(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
