@@ -43,7 +43,7 @@ _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)
 _SPOKEN = re.compile(rf"(?<!\w){_WORD}(?:[\s,-]+{_WORD}){{5,}}(?!\w)", re.I)
 _PHONE_STRICT = re.compile(
     r"(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[.-])\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"  # North America
-    r"|\+\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d ./-]{5,14}\d|00\d{2}[ .-]?\d[\d ./-]{5,13}\d"  # international
+    r"|\+\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d ./-]{5,14}\d|00\d{2}[ .-]\d[\d ./-]{5,13}\d"  # international
     r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /]{1,3}\d{3,8}(?:[ -]\d{1,5}){0,2}"  # national with trunk 0
 )
 _EXT = re.compile(r",?\s?(?:ext\.?|x|Durchwahl|poste)\s?\d{1,5}$", re.I)
@@ -72,7 +72,7 @@ _STREET_DE = re.compile(
 )
 _STREET_FR = re.compile(r"(?<![\w.,:@/-])\d{1,4}\s?(?:bis|ter)?,?\s(?:rue|chemin|impasse|avenue|av\.|boulevard|bd|place|quai|allée|cours|passage|route|sentier)\s(?:(?:de|du|des|la|le|les|l')\s?)*[\w'’-]+(?:[ -][A-ZÉÈ][\w'’-]+)*", re.I)
 _STREET_ES = re.compile(
-    r"(?<!\w)(?:calle|c/|c\.(?=\s(?:de|del|[A-ZÁÉÍÓÚÑ]))|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía|carrera)\s?(?:(?:de|del|la|las|los|el)\s)*[\w'’-]+(?:\s(?!nº|n\.º|núm)[^\W\d][\w'’-]+){0,3},?\s(?:nº|n\.º|núm\.?|número)?\s?\d{1,4}(?!\w)", re.I
+    r"(?<!\w)(?<!\d\s)(?:calle|c/|c\.(?=\s(?:de|del|(?-i:[A-ZÁÉÍÓÚÑ])))|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía|carrera)\s?(?:(?:de|del|la|las|los|el)\s)*[\w'’-]+(?:\s(?!nº|n\.º|núm)[^\W\d][\w'’-]+){0,3},?\s(?:nº|n\.º|núm\.?|número)?\s?\d{1,4}(?!\w)", re.I
 )
 _STREET_WORD = re.compile(
     rf"\d\s?[a-z]?,?\s(?:[\w'’-]+\s){{1,3}}?{_KIND_EN}\b|(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|chaussee)\s?\d|\b(?:am|an de[rn]|im|auf de[rm]|zu[mr]|beim|hinter der|unter den)\s[\w-]{{4,}}\s\d|\b(?:rue|chemin|impasse|avenue|av\.|boulevard|bd|place|quai|allée|cours|passage|route|sentier)\b|\b(?:calle|c/|c\.|avenida|avda|plaza|pza|paseo|camino|ronda|travesía|carrera)",
@@ -132,16 +132,24 @@ def _emails(text: str) -> Iterator[Span]:
         )
 
 
+def _runs(text: str) -> Iterator[tuple[int, str]]:
+    """Runs of digits, letters and signs that may be one number; of two telephone numbers side by side, each."""
+    for m in _NUMBER.finditer(text):
+        s = m.group().rstrip(" .,-/(")
+        gaps = [i for i, c in enumerate(s) if c == " "] if sum(c.isdigit() for c in s) > 15 else []
+        at = next((i for i in gaps if _PHONE_STRICT.fullmatch(s[:i]) and _PHONE_STRICT.fullmatch(s[i + 1 :])), None)
+        yield from [(m.start(), s)] if at is None else [(m.start(), s[:at]), (m.start() + at + 1, s[at + 1 :])]
+
+
 def _numbers(text: str, spoken: bool) -> Iterator[Span]:
     for m in _SPOKEN.finditer(text) if spoken else ():
         near = text[max(0, m.start() - 30) : m.start()] + " " + text[m.end() : m.end() + 25]
         yield "phone", m.start(), m.end(), _votes(1, 1, 1 if _PHONE_NEAR.search(near) else 0, -1 if _OTHER_NEAR.search(near) else 0, 1), "words"
-    for m in _NUMBER.finditer(text):
-        s = m.group().rstrip(" .,-/(")
+    for start, s in _runs(text):
         digits = sum(c.isdigit() for c in s)
         if digits < 5 or len(s) < 7:
             continue
-        left, right = text[max(0, m.start() - 40) : m.start()], text[m.start() + len(s) : m.start() + len(s) + 22]
+        left, right = text[max(0, start - 40) : start], text[start + len(s) : start + len(s) + 22]
         left = re.split(r"\d|[?!]\s|(?<!no)(?<!tel)(?<!tél)(?<!nr)\.\s|\n", left)[-1]  # what stands before another number belongs to that
         right = re.split(r"[.?!|,\n]|\s(?=[A-ZÄÖÜÉ])", right)[0]
         core = _EXT.sub("", s)
@@ -150,11 +158,11 @@ def _numbers(text: str, spoken: bool) -> Iterator[Span]:
         phone_form, id_form = bool(_PHONE_STRICT.fullmatch(core)), bool(_ID_STRICT.fullmatch(core))
         sep = "".join(sorted({c for c in core if not c.isalnum()}))
         shape = f"{digits}d{min(letters, 4)}l{sep}"
-        stop = m.start() + len(s)
+        stop = start + len(s)
         if letters == 0 and 7 <= digits <= 16:
-            yield "phone", m.start(), stop, _votes(1 if phone_form and (phone_near or not other) else 0 if phone_near else -1, 1 if s[0] in "+(" or s.startswith("0") and phone_form else 0, 1 if phone_near else 0, -1 if id_near or other else 0, -1 if id_form and id_near else 0, -1 if not sep and not phone_near and s[0] != "+" else 0), shape
+            yield "phone", start, stop, _votes(1 if phone_form and (phone_near or not other) else 0 if phone_near else -1, 1 if s[0] in "+(" or s.startswith("0") and phone_form else 0, 1 if phone_near else 0, -1 if id_near or other else 0, -1 if id_form and id_near else 0, -1 if not sep and not phone_near and s[0] != "+" else 0), shape
         if digits >= 5 and (letters + digits) >= 8:
-            yield "national_id", m.start(), stop, _votes(1 if id_near else -1, 1 if id_form else 0, -1 if other and not id_near else 0, -1 if phone_form and not id_near else 0, -1 if phone_near and not id_near else 0), shape
+            yield "national_id", start, stop, _votes(1 if id_near else -1, 1 if id_form else 0, -1 if other and not id_near else 0, -1 if phone_form and not id_near else 0, -1 if phone_near and not id_near else 0), shape
 
 
 def _streets(text: str) -> Iterator[Span]:
