@@ -135,3 +135,44 @@ def premise_risks(c: Catalog, docs_df: DataFrame, questions: DataFrame) -> DataF
     asked = questions.select("qid", "g", F.explode(F.array_distinct(F.array_except(names, F.array(*[F.lit(w) for w in time_words])))).alias("subject"))
     known = docs_df.select("g", "stem").distinct()
     return asked.withColumn("stem", F.substring(F.lower("subject"), 1, STEM)).join(known, ["g", "stem"], "left_anti").select("qid", "g", "subject")
+
+
+def attribution(c: Catalog, lines: DataFrame) -> DataFrame:
+    """(qid, g, who, id): who said it: the speaker of the best line row (qid, g, id, score)."""
+    best = lines.groupBy("qid", "g").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("id"))
+    return best.join(c.line.select("g", "id", "who"), ["g", "id"]).where("who <> ''").select("qid", "g", "who", "id")
+
+
+def enumeration_basis(counts: DataFrame, limit: int = 160) -> DataFrame:
+    """(qid, g, no, line): the numbered members of counts (qid, g, members)."""
+    each = counts.select("qid", "g", F.posexplode("members").alias("p", "m"))
+    return each.select("qid", "g", (F.col("p") + 1).alias("no"), F.format_string("%d. [%s] (%s) %s", F.col("p") + 1, "m.date", "m.id", F.substring("m.text", 1, limit)).alias("line"))
+
+
+def instances_for(c: Catalog, instances: DataFrame, keywords: DataFrame, idf: DataFrame, cap: int = 12) -> DataFrame:
+    """(qid, g, id, label, dates, score, rank): instances (g, id, label, mentions) by the idf of keywords (qid, g, keyword)
+    that stand in their label or mentions, with their distinct dates."""
+    told = instances.select("g", "id", "label", F.explode_outer("mentions").alias("m")).join(c.fact.select("g", F.col("id").alias("m"), "text", "eff"), ["g", "m"], "left")
+    whole = told.groupBy("g", "id", "label").agg(F.concat_ws(" ", F.lower("label"), F.lower(F.array_join(F.sort_array(F.collect_set("text")), " "))).alias("text"), F.sort_array(F.collect_set(F.when(F.col("eff") != "", F.col("eff")))).alias("dates"))
+    weights = keywords.withColumn("stem", F.substring("keyword", 1, STEM)).join(idf.select("g", "stem", "idf"), ["g", "stem"], "left").fillna(0.0, ["idf"]).groupBy("qid", "g").agg(F.sort_array(F.collect_list(F.struct("keyword", "idf"))).alias("ks"))
+    score = F.aggregate(F.filter("ks", lambda k: F.contains("text", k["keyword"])), F.lit(0.0), lambda a, k: a + k["idf"])
+    hits = whole.join(weights, "g").withColumn("score", score).where("score > 0")
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= cap).select("qid", "g", "id", "label", "dates", "score", "rank")
+
+
+def memories(rows: DataFrame) -> DataFrame:
+    """(qid, g, text): chosen rows (qid, g, id, date, text) as a chronicle, a line each: ``Month dd, YYYY: text``.
+
+    A pack has a bounded number of rows, so one text a request is small.
+    """
+    day = F.coalesce(F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "MMMM dd, yyyy"), F.col("date"))
+    listed = F.array_sort(F.collect_list(F.struct("date", "id", F.concat(day, F.lit(": "), "text").alias("line"))))
+    return rows.groupBy("qid", "g").agg(F.array_join(F.transform(listed, lambda r: r["line"]), "\n").alias("text"))
+
+
+def token_ledger(calls: DataFrame) -> DataFrame:
+    """(qid, channel, calls, tokens): tokens by question and channel, and in all (channel null); channels that are a part of
+    another one (``subset``) do not count into the whole."""
+    whole = calls.where(~F.coalesce("subset", F.lit(False))).groupBy("qid").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens")).withColumn("channel", F.lit(None).cast("string"))
+    each = calls.groupBy("qid", "channel").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+    return each.unionByName(whole)

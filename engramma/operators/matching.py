@@ -36,7 +36,8 @@ def requests(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def has_content(req: str = "") -> Column:
+def has_content() -> Column:
+    """Whether a request asks for more than a speaker and a time."""
     lists = ("topics", "entities", "obj", "place", "event", "kind", "units", "grep_all")
     out = (F.col("grep") != "") | (F.col("entity_kind") != "")
     for c in lists:

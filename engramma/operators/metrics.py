@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,22 @@ def telling_terms(texts: DataFrame, group: str, share: float = 0.3, least: int =
     groups = texts.select(group).distinct().count()
     each = words.groupBy("term", "_g").agg(F.count("*").alias("k")).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n"))
     return each.where((F.col("n_docs") <= share * groups) & (F.col("n") >= least))
+
+
+def stratified(questions: DataFrame, count: int, id_col: str = "question_id", type_col: str = "question_type", absent_share: float = 0.1) -> DataFrame:
+    """``count`` questions, the same at every call: first a slice of unanswerable ones (ids that end in ``_abs``), then an
+    equal quota of each type, then whatever is left, always in the order of ids. A sampling operator: it takes few by intent.
+    """
+    q = questions.select(id_col, type_col).distinct().withColumn("_absent", F.endswith(id_col, F.lit("_abs")))
+    types = max(1, q.select(type_col).distinct().count())
+    quota = max(1, count // types)
+    nth = F.row_number().over(W.partitionBy(type_col, "_absent").orderBy(id_col))
+    all_absent = F.row_number().over(W.partitionBy("_absent").orderBy(id_col))
+    tier = F.when(F.col("_absent") & (F.col("_all") <= max(1, int(count * absent_share))), 0).when(~F.col("_absent") & (F.col("_nth") <= quota), 1).otherwise(2)
+    ranked = q.withColumn("_nth", nth).withColumn("_all", all_absent).withColumn("_tier", tier)
+    return ranked.orderBy("_tier", id_col).limit(count).select(id_col, type_col)
+
+
+def pack_units(ids: Column) -> Column:
+    """The sessions that row ids belong to, each once: an id without its fact or line number, or without its turn."""
+    return F.array_distinct(F.transform(ids, lambda i: F.regexp_replace(F.regexp_replace(i, r"[FL]\d+$", ""), r":\d+$", "")))

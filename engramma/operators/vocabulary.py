@@ -182,3 +182,54 @@ def register_entities(c: Catalog, surfaces: DataFrame) -> DataFrame:
     named = resolve_entities(c, surfaces).join(surfaces, ["g", "surface"]).select("g", F.coalesce("code", norm_code("surface")).alias("code"), F.coalesce("etype", F.lit("")).alias("new"), "surface").where("code <> ''")
     new = named.groupBy("g", "code").agg(F.max("new").alias("new"), F.min(F.trim("surface")).alias("surface"))
     return c.entity.join(new, ["g", "code"], "full_outer").select("g", "code", F.coalesce(F.nullif("etype", F.lit("")), "new", F.lit("")).alias("etype"), F.coalesce("name", "surface").alias("name"))
+
+
+def move_topic(c: Catalog, moves: DataFrame) -> DataFrame:
+    """The links after (g, code, parents) got new parents. Raises ValueError where a parent is unknown or a circle would close."""
+    from engramma.operators.hierarchy import peel
+
+    new = moves.select("g", F.col("code").alias("child"), F.explode("parents").alias("parent")).distinct()
+    unknown = new.join(c.topic.select("g", F.col("code").alias("parent")), ["g", "parent"], "left_anti").limit(3).collect()
+    if unknown:
+        raise ValueError(f"unknown parents: {[r['parent'] for r in unknown]}")
+    edges = c.edge.join(moves.select("g", F.col("code").alias("child")), ["g", "child"], "left_anti").select("g", "parent", "child").unionByName(new.select("g", "parent", "child"))
+    closed, _, _ = peel(edges)
+    moved = closed.where("ancestor = node").join(moves.select("g", F.col("code").alias("node")), ["g", "node"], "left_semi").limit(3).collect()
+    if moved:
+        raise ValueError(f"a circle would close at {[r['node'] for r in moved]}")
+    return edges
+
+
+def with_ancestors(c: Catalog, assigned: DataFrame, depth: int = 16) -> DataFrame:
+    """(g, id, topics): topics (g, id, topics) with their ancestors along the least parent, after them, each once."""
+    up = c.edge.join(c.topic.select("g", F.col("code").alias("parent")), ["g", "parent"]).groupBy("g", F.col("child").alias("code")).agg(F.min("parent").alias("up"))
+    now = assigned.select("g", "id", F.posexplode(F.array_distinct("topics")).alias("p", "code")).withColumn("d", F.lit(0))
+    levels = [now]
+    for d in range(1, depth + 1):
+        now = cut(now.join(up, ["g", "code"]).select("g", "id", "p", F.col("up").alias("code"), F.lit(d).alias("d")))
+        if now.isEmpty():
+            break
+        levels.append(now)
+    every = reduce(DataFrame.unionByName, levels)
+    return every.groupBy("g", "id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("d", "p", "code"))), lambda x: x["code"])).alias("topics"))
+
+
+def settled_merges(pairs: DataFrame) -> DataFrame:
+    """(g, loser, winner): of candidate pairs (g, a, b) those that need no vote: one code begins or ends with the other and not
+    both have digits; the shorter wins, and a code takes part in one merge only, in the order of codes.
+
+    Where pairs meet, the least pair is taken and its neighbours wait, round by round.
+    """
+    short = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
+    affix = F.startswith("a", F.col("b")) | F.startswith("b", F.col("a")) | F.endswith("a", F.col("b")) | F.endswith("b", F.col("a"))
+    open_pairs = cut(pairs.where(affix & ~(F.col("a").rlike(r"\d") & F.col("b").rlike(r"\d"))).select("g", "a", "b").distinct())
+    taken = []
+    while not open_pairs.isEmpty():
+        ends = open_pairs.select("g", F.explode(F.array("a", "b")).alias("code"), F.struct("a", "b").alias("pair")).groupBy("g", "code").agg(F.min("pair").alias("least"))
+        at = lambda s: ends.select("g", F.col("code").alias(s), F.col("least").alias(f"l{s}"))
+        now = cut(open_pairs.join(at("a"), ["g", "a"]).join(at("b"), ["g", "b"]).where((F.col("la") == F.struct("a", "b")) & (F.col("lb") == F.struct("a", "b"))).select("g", "a", "b"))
+        taken.append(now)
+        used = now.select("g", F.explode(F.array("a", "b")).alias("code")).distinct()
+        open_pairs = cut(open_pairs.join(used.withColumnRenamed("code", "a"), ["g", "a"], "left_anti").join(used.withColumnRenamed("code", "b"), ["g", "b"], "left_anti").select("g", "a", "b"))
+    every = reduce(DataFrame.unionByName, taken) if taken else open_pairs
+    return every.select("g", F.when(short, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(short, F.col("a")).otherwise(F.col("b")).alias("winner"))

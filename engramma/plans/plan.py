@@ -9,7 +9,7 @@ from __future__ import annotations
 import copy
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -260,15 +260,3 @@ def is_simple(pattern: str) -> bool:
     """Whether a pattern is only plain alternatives, so that each has a weight of its own."""
     return not re.search(r"[()\[\]?*+{\\]", pattern.replace("\\|", ""))
 
-
-def plain_terms(pattern: str) -> list[str]:
-    return [t.strip() for t in pattern.split("|") if t.strip()]
-
-
-def requests_of(queries: Iterable[Query]) -> list[dict[str, Any]]:
-    """Rows for :func:`engramma.operators.matching.requests`, one a query that selects facts."""
-    rows = []
-    for i, q in enumerate(queries):
-        w = q.where
-        rows.append({"sub": i, "lo": w.time[0], "hi": w.time[1], "topics": [c for c, _ in w.topics], "closure": all(k for _, k in w.topics), **{n: list(getattr(w, n)) for n in LIST_FIELDS}, "grep": w.grep, "entity_kind": w.entity_kind, "conf_min": w.conf_min})
-    return rows
