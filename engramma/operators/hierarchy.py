@@ -37,30 +37,34 @@ def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     height) of the peeled links, where height is that of the child. rest: the links that could not be peeled.
     """
     spark = edges.sparkSession
-    open_edges = cut(edges)
-    closure: list[DataFrame] = []
-    levels: list[DataFrame] = []
+    state = cut(_marked(edges))
+    # what is known of nodes that are not peeled yet; every round has plans of the same shape
+    pending = spark.createDataFrame([], "g string, ancestor string, node string")
+    closure, levels = [pending], [spark.createDataFrame([], "g string, parent string, child string, height int")]
     height = 0
     while True:
-        inner = open_edges.select("g", F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-        split = cut(open_edges.join(inner, ["g", "child"], "left").select("g", "parent", "child", "inner"))
-        ripe = split.where("inner is null").drop("inner")
+        ripe = state.where("ripe").select("g", "parent", "child")
         if ripe.isEmpty():
             break
-        own = ripe.select("g", F.col("parent").alias("ancestor"), F.col("child").alias("node"))
-        if closure:
-            known = reduce(DataFrame.unionByName, closure).withColumnRenamed("ancestor", "child")
-            own = own.unionByName(known.join(ripe, ["g", "child"]).select("g", F.col("parent").alias("ancestor"), "node")).distinct()
-        closure.append(cut(own))
+        sent = pending.withColumnRenamed("ancestor", "child").join(ripe, ["g", "child"]).select("g", F.col("parent").alias("ancestor"), "node")
+        new = cut(ripe.select("g", F.col("parent").alias("ancestor"), F.col("child").alias("node")).unionByName(sent).distinct())
+        peeled = ripe.select("g", F.col("child").alias("ancestor")).distinct()
+        pending = cut(pending.join(peeled, ["g", "ancestor"], "left_anti").unionByName(new))
+        closure.append(new)
         levels.append(ripe.withColumn("height", F.lit(height)))
-        open_edges = split.where("inner is not null").drop("inner")
+        state = cut(_marked(state.where("not ripe").select("g", "parent", "child")))
         height += 1
-    done = reduce(DataFrame.unionByName, closure) if closure else spark.createDataFrame([], "g string, ancestor string, node string")
-    level = reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], "g string, parent string, child string, height int")
-    rest = split.drop("inner")
+    done, level = reduce(DataFrame.unionByName, closure), reduce(DataFrame.unionByName, levels)
+    rest = state.select("g", "parent", "child")
     return done.unionByName(_circular(rest, done)).distinct(), level, rest
 
 
+def _marked(edges: DataFrame) -> DataFrame:
+    """Links with ``ripe``: whether the child has no open link downwards."""
+    inner = edges.select("g", F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+    return edges.join(inner, ["g", "child"], "left").select("g", "parent", "child", F.col("inner").isNull().alias("ripe"))
+
+
 def _circular(rest: DataFrame, done: DataFrame) -> DataFrame:
     """The closure of nodes that have a circle below them: reach among themselves, and then into what was peeled."""
     if rest.isEmpty():
