@@ -10,6 +10,8 @@ from engramma.catalog import Catalog
 from engramma.functions.lexical import STEM, average_length, frequencies
 
 RRF = 60
+#: Scores that agree to so many places are ties, whatever order they were summed in.
+TIE = 9
 PRECISE_SCORE, PRECISE_ROWS, BOUND_ROWS = 4.5, 8, 40
 
 
@@ -35,7 +37,7 @@ def lexical(docs: DataFrame, asked: DataFrame, cap: int = 24, rare: DataFrame |
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("stem", "idf"))), F.lit(0.0), lambda a, x: a + x["idf"])
     sums = hits.groupBy("qid", "g", "type", "id").agg(total.alias("s"), F.max("n").alias("n")).join(average_length(docs), "g")
     scored = sums.withColumn("score", F.col("s") / (0.75 + 0.25 * F.col("n") / F.when(F.col("avg_tokens") > 0, F.col("avg_tokens")).otherwise(1.0)))
-    order = W.partitionBy("qid", "g").orderBy(F.col("score").desc(), "type", "id")
+    order = W.partitionBy("qid", "g").orderBy(F.round("score", TIE).desc(), "type", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("qid", "g", "type", "id", "score", "rank")
 
 
@@ -48,7 +50,7 @@ def lexical_plain(c: Catalog, docs: DataFrame, keywords: DataFrame, cap: int = 2
     texts = c.fact.select("g", F.lit("fact").alias("type"), "id", F.lower("text").alias("text")).unionByName(c.line.select("g", F.lit("line").alias("type"), "id", F.lower("text").alias("text")))
     total = F.aggregate(F.filter("ks", lambda x: F.contains("text", F.lower(x["keyword"]))), F.lit(0.0), lambda a, x: a + x["idf"])
     scored = texts.join(asked, "g").withColumn("score", total).where("score > 0")
-    order = W.partitionBy("qid", "g").orderBy(F.col("score").desc(), "type", "id")
+    order = W.partitionBy("qid", "g").orderBy(F.round("score", TIE).desc(), "type", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select("qid", "g", "type", "id", "score", "rank")
 
 
@@ -60,7 +62,7 @@ def date_window(c: Catalog, anchors: DataFrame, specificity: DataFrame, cap: int
     told = F.when(day, F.col("unit_date") == F.col("day")).otherwise(F.startswith("unit_date", F.col("month")))
     hit = j.where((day | (F.col("month") != "")) & (dated | told)).withColumn("late", F.when(dated, 0).otherwise(1))
     hit = hit.join(specificity.where("type = 'fact'").select("g", "id", "specificity"), ["g", "id"], "left").fillna(0.0, ["specificity"])
-    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy("late", F.col("specificity").desc(), "id"))).where(F.col("rank") <= cap)
+    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy("late", F.round("specificity", TIE).desc(), "id"))).where(F.col("rank") <= cap)
     return ranked.select("qid", "g", "id", (3.0 - 0.1 * (F.col("rank") - 1)).alias("score"), "rank")
 
 
@@ -76,7 +78,7 @@ def fused(channels: list[DataFrame]) -> DataFrame:
     # at most one row a channel; in channel order the sum is always the same
     share = F.transform(F.array_sort(F.collect_list(F.struct("channel", "rank"))), lambda x: F.lit(1.0) / (RRF - 1 + x["rank"]))
     sums = union.groupBy("qid", "g", "type", "id").agg(F.aggregate(share, F.lit(0.0), lambda a, x: a + x).alias("rrf"), F.min(F.struct("channel", "rank")).alias("seen"))
-    return sums.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy(F.col("rrf").desc(), "seen"))).drop("seen")
+    return sums.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy(F.round("rrf", 12).desc(), "seen"))).drop("seen")
 
 
 def chosen(plan_rows: DataFrame, fused_rows: DataFrame, budget: int, unit_cap: int, relief: bool = False) -> DataFrame:

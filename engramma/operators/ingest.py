@@ -53,7 +53,8 @@ def normalised_facts(raw: DataFrame, c: Catalog, kinds: list[str], events: list[
 def conflicts(records: DataFrame, keys: list[str], ignore: tuple[str, ...] = ("loaded_at",)) -> DataFrame:
     """(keys, versions): keys under which records differ in anything but the ignored columns. Equal records are no conflict."""
     rest = [c for c in records.columns if c not in keys and c not in ignore]
-    whole = F.xxhash64(*[F.col(c) for c in keys + rest])
+    # as text: a hash of columns would take an absent list for an empty one
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in keys + rest])))
     return records.groupBy(*keys).agg(F.countDistinct(whole).alias("versions")).where("versions > 1")
 
 

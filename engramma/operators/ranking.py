@@ -16,6 +16,8 @@ EXACT, DEEP, SHALLOW, ENTITY, FACET, KIND, WHO, CONF = 3.0, 2.0, 0.8, 2.0, 1.5,
 COMPLEX_PATTERN, PATTERN_MOST, PATTERN_WEIGHT = 2.5, 6.0, 0.9
 #: What a rank costs in the pool.
 DECAY = 1e-4
+#: Scores that agree to so many places are ties.
+TIE = 9
 
 
 def pattern_weights(patterns: DataFrame, idf: DataFrame) -> DataFrame:
@@ -88,10 +90,10 @@ def content_key() -> Column:
 def ranked(s: DataFrame, specificity: DataFrame | None = None) -> DataFrame:
     """Scored facts with ``rank`` from 1: by score, date and id; with ``specificity`` (g, id, specificity), which a head or
     tail needs, ties of score and date go by specificity and content first."""
-    order = [F.col("score").desc(), F.col("eff")]
+    order = [F.round("score", TIE).desc(), F.col("eff")]
     if specificity is not None:
         s = s.join(specificity.select("g", "id", "specificity"), ["g", "id"], "left").fillna(0.0, ["specificity"])
-        order += [F.col("specificity").desc(), content_key()]
+        order += [F.round("specificity", TIE).desc(), content_key()]
     return s.withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy(*order, "id")))
 
 
@@ -143,7 +145,7 @@ def _capped(order: DataFrame, seq: list, unit_cap: int, budget: int, relief: boo
 
 def packed(pool: DataFrame, budget: int = 12, unit_cap: int = 4) -> DataFrame:
     """The best rows of a pool, at most ``unit_cap`` of a unit (units themselves are free of it), ``budget`` in all."""
-    return _capped(pool, [F.col("score").desc(), F.col("key")], unit_cap, budget, False)
+    return _capped(pool, [F.round("score", TIE).desc(), F.col("key")], unit_cap, budget, False)
 
 
 def packed_with_quota(pool: DataFrame, first: DataFrame, budget: int = 12, unit_cap: int = 4) -> DataFrame:
@@ -151,7 +153,7 @@ def packed_with_quota(pool: DataFrame, first: DataFrame, budget: int = 12, unit_
     free, the refused rows take them in order."""
     early = first.where("rank <= 2").groupBy("qid", "g", "key").agg(F.min(F.struct("sub", "rank")).alias("early"))
     p = pool.join(early, ["qid", "g", "key"], "left")
-    seq = [F.col("early").isNull(), F.col("early.sub"), F.col("early.rank"), F.col("score").desc(), F.col("key")]
+    seq = [F.col("early").isNull(), F.col("early.sub"), F.col("early.rank"), F.round("score", TIE).desc(), F.col("key")]
     return _capped(p, seq, unit_cap, budget, True).drop("early")
 
 
@@ -161,9 +163,9 @@ def packed_with_coverage(pool: DataFrame, branch: DataFrame, budget: int = 12, u
     ``branch`` has (g, id, branch) of facts; other rows share one branch.
     """
     p = pool.join(branch.select("g", "id", F.lit("F").alias("type"), "branch"), ["g", "id", "type"], "left").fillna("", ["branch"])
-    turn = F.row_number().over(W.partitionBy("qid", "g", "branch").orderBy(F.col("score").desc(), "key"))
+    turn = F.row_number().over(W.partitionBy("qid", "g", "branch").orderBy(F.round("score", TIE).desc(), "key"))
     p = p.withColumn("turn", turn)
-    return _capped(p, [F.col("turn"), F.col("branch"), F.col("score").desc(), F.col("key")], unit_cap, budget, True)
+    return _capped(p, [F.col("turn"), F.col("branch"), F.round("score", TIE).desc(), F.col("key")], unit_cap, budget, True)
 
 
 def branches(c: Catalog) -> DataFrame:

@@ -88,6 +88,8 @@ def test_shards(spark):
     a = spark.createDataFrame([("c", "1", "x", None), ("c", "2", "y", None)], "g string, id string, text string, loaded_at string")
     b = spark.createDataFrame([("c", "2", "y", "later"), ("c", "3", "z", None)], a.schema)
     assert ingest.merged([a, b], ["g", "id"]).count() == 3
+    lists = spark.createDataFrame([("c", "1", []), ("c", "1", None), ("d", "1", []), ("d", "1", [])], "g string, id string, parents array<string>")
+    assert [r["g"] for r in ingest.conflicts(lists, ["g", "id"]).collect()] == ["c"]
     with pytest.raises(ValueError, match="different"):
         ingest.merged([a, spark.createDataFrame([("c", "1", "other", None)], a.schema)], ["g", "id"])
 
