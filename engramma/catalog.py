@@ -15,6 +15,7 @@ from engramma.functions.symbols import norm_code
 from engramma.session import table
 
 LISTS = ("topics", "entities", "src", "obj", "place", "event")
+NAMES = ("fact", "line", "unit", "topic", "edge", "entity", "alias", "speaker")
 
 
 def strings(name: str) -> F.Column:
@@ -33,12 +34,13 @@ def facts(fact: DataFrame) -> DataFrame:
     """Distinct facts with their effective date ``eff``."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     out = fact.select(F.col("codebook_id").alias("g"), "id", text("unit"), text("unit_date"), fact_time(F.col("t")).alias("t"), *[text(c) for c in ("kind", "who", "conf", "dur", "text")], *[strings(c).alias(c) for c in LISTS])
-    return out.distinct().withColumn("eff", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("unit_date")))
+    # by key: what a query does not read is not shuffled, as it would be to compare whole rows
+    return out.dropDuplicates(["g", "id"]).withColumn("eff", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("unit_date")))
 
 
 def lines(line: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return line.select(F.col("codebook_id").alias("g"), "id", text("unit"), text("unit_date"), "pos", text("who"), text("text")).distinct()
+    return line.select(F.col("codebook_id").alias("g"), "id", text("unit"), text("unit_date"), "pos", text("who"), text("text")).dropDuplicates(["g", "id"])
 
 
 @dataclass
@@ -72,6 +74,21 @@ class Catalog:
         speakers = codebook.select(g, F.explode(F.split(F.lower("speakers"), r"\s+")).alias("who")).where("who <> ''").distinct()
         return cls(facts(fact), lines(line), units, topics, edges, entities, aliases, speakers)
 
+    def save(self, path: str) -> None:
+        """Write the canonical tables once, clustered by codebook, so that queries neither drop repeats nor read others' rows.
+
+        Ranges of (codebook, id) keep the files even though one codebook may hold a third of all rows.
+        """
+        for name in NAMES:
+            df = getattr(self, name)
+            second = {"edge": "child", "speaker": "who", "topic": "code", "entity": "code", "alias": "code"}.get(name, "id")
+            df.repartitionByRange("g", second).sortWithinPartitions("g", second).write.parquet(f"{path}/{name}.parquet")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Catalog:
+        """Tables that :meth:`save` wrote."""
+        return cls(*(table(spark, path, name) for name in NAMES))
+
     def posting(self, axis: str) -> DataFrame:
         """(g, code, id): the facts of each code of one axis."""
         one = self.fact.select("g", F.explode(axis).alias("code"), "id") if axis in LISTS else self.fact.select("g", F.col(axis).alias("code"), "id")
