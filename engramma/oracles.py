@@ -219,4 +219,22 @@ ORACLES: dict[str, str] = {
     "reconcile_lines": _with(_F, "h AS (SELECT codebook_id g, id, count(*) n FROM line GROUP BY ALL)", "w AS (SELECT DISTINCT g, unnest(src) id FROM f)")
     + "SELECT * FROM (SELECT coalesce(h.g, w.g) g, coalesce(h.id, w.id) id, CASE WHEN n IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'foreign' WHEN n > 1 THEN 'repeated' END problem FROM h FULL JOIN w ON w.g = h.g AND w.id = h.id) WHERE problem IS NOT NULL",
     "telling_terms": _with(_F, "w AS (SELECT g, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) term FROM f)", "e AS (SELECT term, g, count(*) k FROM w GROUP BY ALL)") + "SELECT term, count(*) n_docs, sum(k)::BIGINT n FROM e GROUP BY term HAVING count(*) <= 0.3 * (SELECT count(DISTINCT g) FROM f) AND sum(k) >= 5",
+    "p3_found": _with(
+        r"sess AS (SELECT sample_id, k, json_extract(record, '$.conversation.' || k) v FROM (SELECT sample_id, record, unnest(json_keys(record, '$.conversation')) k FROM locomo10 WHERE json_valid(record)) WHERE regexp_full_match(k, 'session_\d+'))",
+        "tu AS (SELECT sample_id, k, json_extract_string(t, '$.dia_id') dia FROM (SELECT sample_id, k, unnest(json_extract(CASE json_type(v) WHEN 'ARRAY' THEN v WHEN 'OBJECT' THEN json_extract(v, '$.turns') END, '$[*]')) t FROM sess))",
+        "tn AS (SELECT DISTINCT sample_id, k, dia FROM tu WHERE trim(dia) <> '')",
+        "qa AS (SELECT sample_id, unnest(json_extract(record, '$.qa[*]')) q, generate_subscripts(json_extract(record, '$.qa[*]'), 1) - 1 p FROM locomo10 WHERE json_valid(record))",
+        r"ev AS (SELECT DISTINCT sample_id, p, unnest(regexp_extract_all(json_extract(q, '$.evidence')::VARCHAR, '[A-Za-z]+\s*\d+\s*:\s*\d+')) c FROM qa)",
+        r"nk AS (SELECT sample_id, p, upper(regexp_extract(c, '[A-Za-z]+')) || ltrim(regexp_extract(c, '(\d+)\s*:', 1), '0') || ':' || ltrim(regexp_extract(c, ':\s*(\d+)', 1), '0') n FROM ev)",
+        r"dk AS (SELECT DISTINCT sample_id, dia, upper(regexp_extract(dia, '[A-Za-z]+')) || ltrim(regexp_extract(dia, '(\d+)\s*:', 1), '0') || ':' || ltrim(regexp_extract(dia, ':\s*(\d+)', 1), '0') n FROM tn)",
+        "hs AS (SELECT question_id, answer_session_ids a, unnest(haystack_session_ids) s, generate_subscripts(haystack_session_ids, 1) - 1 p FROM longmemeval_s_cleaned)",
+        "hx AS (SELECT question_id, unnest(haystack_sessions) ts, generate_subscripts(haystack_sessions, 1) - 1 p FROM longmemeval_s_cleaned)",
+        "ht AS (SELECT question_id, p, unnest(ts) t, generate_subscripts(ts, 1) - 1 n FROM hx)",
+    )
+    + r"""SELECT 'turn' link_kind, sample_id rec_id, k parent_key, dia child_key FROM tn UNION SELECT 'evidence', nk.sample_id, p::VARCHAR, dia FROM nk JOIN dk ON dk.sample_id = nk.sample_id AND dk.n = nk.n
+    UNION SELECT 'haystack_session', question_id, p::VARCHAR, s FROM hs WHERE s IS NOT NULL UNION SELECT 'answer_session', question_id, p::VARCHAR, s FROM hs WHERE list_contains(a, s) UNION SELECT 'haystack_turn', question_id, p::VARCHAR, n::VARCHAR FROM ht WHERE regexp_matches(t.content, '\S')""",
+    "match_topic_exact": _with(_F, _T, _E, _R, _closure("SELECT g, topic root FROM roots"), "m AS (SELECT f.g, f.id, CASE WHEN min(cl.depth) = 0 THEN 0 ELSE 9 END step FROM f JOIN cl ON cl.g = f.g AND list_contains(f.topics, cl.code) GROUP BY f.g, f.id)", "t AS (SELECT *, min(step) OVER (PARTITION BY g) taken FROM m)")
+    + "SELECT g, id, taken::BIGINT taken FROM t WHERE step = taken",
+    "rendered_rows": _with(_F, _L, "x AS (SELECT g, id, s, min(i) i FROM (SELECT g, id, unnest(src) s, generate_subscripts(src, 1) i FROM f) GROUP BY ALL)", "y AS (SELECT x.g, x.id, left(l.text, 120) t, i, row_number() OVER (PARTITION BY x.g, x.id ORDER BY i) n FROM x JOIN l ON l.g = x.g AND l.id = x.s)", "z AS (SELECT g, id, string_agg(t, ' / ' ORDER BY i) q FROM y WHERE n <= 2 GROUP BY ALL)")
+    + "SELECT f.g, f.id, CASE WHEN conf = 'high' THEN '[anchored] ' ELSE '' END || '[' || eff || ' ' || CASE WHEN length(eff) = 10 THEN coalesce(dayname(try_strptime(eff, '%Y-%m-%d')), '') ELSE '' END || '] (' || f.id || ', src=' || unit || ') ' || text || coalesce(' | verbatim: ' || q, '') AS \"row\" FROM f LEFT JOIN z USING (g, id)",
 }
