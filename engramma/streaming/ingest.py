@@ -13,12 +13,6 @@ def line_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(LINE).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def deduplicated(lines: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each line once; what comes again within ``delay`` of the latest delivery is known from state, later repeats are
-    removed when they are written."""
-    return lines.where("codebook_id is not null and id is not null").withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["codebook_id", "id"])
-
-
 def append_new(spark: SparkSession, target: str, keys: list[str]):
     """A batch function: writes the rows whose keys the target has not. A batch that is run again adds nothing."""
 
@@ -35,9 +29,12 @@ def append_new(spark: SparkSession, target: str, keys: list[str]):
     return write
 
 
-def ingest_lines(spark: SparkSession, source: str, target: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
-    """Append the lines of JSON files under ``source`` to ``target``; stops when all files there are taken in."""
-    stream = deduplicated(line_stream(spark, source), delay)
+def ingest_lines(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Append the lines of JSON files under ``source`` to ``target``; stops when all files there are taken in.
+
+    Repeats are told by the target alone, so a line is taken in however late it comes.
+    """
+    stream = line_stream(spark, source).where("codebook_id is not null and id is not null")
     return stream.writeStream.foreachBatch(append_new(spark, target, ["codebook_id", "id"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

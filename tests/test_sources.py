@@ -98,3 +98,18 @@ def test_the_stream_takes_each_line_once(spark, tmp_path):
     assert run() == ["a", "b", "d"] or run() == ["a", "b", "c", "d"]
     assert run() == sorted(r["id"] for r in spark.read.parquet(target).collect())
     assert activity(line_stream(spark, str(source))).isStreaming and os.path.isdir(target)
+
+
+def test_the_stream_takes_late_lines(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "lines")
+    source.mkdir()
+
+    def run(name, *items):
+        (source / name).write_text("\n".join(json.dumps({"codebook_id": "c", "id": i, "unit": "u", "pos": 1, "text": i, "loaded_at": t}) for i, t in items))
+        ingest_lines(spark, str(source), target, str(tmp_path / "state")).awaitTermination(120)
+        return sorted(r["id"] for r in spark.read.parquet(target).collect())
+
+    assert run("1.json", ("a", "2024-01-01T00:00:00Z")) == ["a"]
+    assert run("2.json", ("b", "2024-03-01T00:00:00Z"), ("c", "2023-01-01T00:00:00Z")) == ["a", "b", "c"]
+    # the watermark of the second run stands above these, which are a year and more behind it
+    assert run("3.json", ("d", "2021-01-01T00:00:00Z"), ("c", "2023-02-01T00:00:00Z"), ("e", None)) == ["a", "b", "c", "d", "e"]
