@@ -31,6 +31,8 @@ OBJECTS = ["the_camper_van", "two_concert_tickets", "the_office_plants"]
 PATTERN, PATTERNS = "piano|ferry|kettle", ["paid|booked", "with"]
 LO, HI = "2022-03", "2023-06"
 LEGAL = ["event", "decision", "plan", "state", "purchase"]
+# The reference's limits of a block and of a choice by tokens (the larger of its two profiles).
+WHOLESALE, TOKENS = 6000, 1700
 
 
 def query(f: Query) -> Query:
@@ -474,7 +476,7 @@ def select_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def select_rows_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     c, fused, plan = _fused(spark, d)
-    rows = channels.chosen_by_tokens(_with_units(c, plan.drop("unit")).withColumn("bound", F.lit(False)), _with_units(c, fused), cap=300, unit_cap=2)
+    rows = channels.chosen_by_tokens(_with_units(c, plan.drop("unit")).withColumn("bound", F.lit(False)), _with_units(c, fused), cap=TOKENS, unit_cap=2)
     return rows.select("g", "type", "id", F.col("seat").cast("long").alias("seat"), F.col("cost").cast("long").alias("cost"))
 
 
@@ -502,10 +504,10 @@ def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_block(spark: SparkSession, d: str) -> DataFrame:
-    """The session that most of a codebook's high-confidence decisions come from, as a whole dialogue."""
+    """The session that most of a codebook's high-confidence decisions come from, as a dialogue of the reference's 6000 characters."""
     c = Catalog.read(spark, d)
     rows = c.fact.where("kind = 'decision' and conf = 'high'").withColumn("qid", F.lit("q")).withColumn("seat", F.row_number().over(W.partitionBy("g").orderBy("id")))
-    b = evidence.session_block(c, evidence.dominant_unit(rows), limit=600)
+    b = evidence.session_block(c, evidence.dominant_unit(rows), limit=WHOLESALE)
     return b.select("g", "unit", "body", F.array_join("shown", " ").alias("shown"))
 
 

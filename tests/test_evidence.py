@@ -8,6 +8,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from engramma import queries
 from engramma.functions.lexical import stems
 from engramma.functions.symbols import norm_code
 from engramma.operators import evidence, ingest, metrics
@@ -31,6 +32,17 @@ def test_session_block_shows_what_begins_before_the_cut(spark):
         assert (got["body"], got["shown"]) == (body, shown)
 
 
+def test_the_registered_block_is_a_whole_dialogue(spark, monkeypatch):
+    c = make(spark, books=1)
+    fact = c.fact.limit(1).withColumns({"kind": F.lit("decision"), "conf": F.lit("high"), "unit": F.lit("g0S0")})
+    c.fact = fact.withColumn("id", F.explode(F.array(*[F.lit(f"g0F{i}") for i in range(3)])))
+    c.line = c.line.withColumn("text", F.repeat("text", F.when(F.col("id") == "g0S0L4", 1000).otherwise(100)))
+    monkeypatch.setattr(queries.Catalog, "read", lambda *_: c)
+    rendered = [f"({r['id']}) {r['who']}: {r['text']}" for r in sorted(c.line.where("unit = 'g0S0'").collect(), key=lambda r: r["pos"])]
+    got = queries.QUERIES["session_block"](spark, "").collect()
+    assert len("\n".join(rendered)) > 6000 and [(r["unit"], r["body"], r["shown"]) for r in got] == [("g0S0", "\n".join(rendered)[:6000], "g0S0L1 g0S0L2 g0S0L3 g0S0L4")]
+
+
 def test_dominant_unit(spark):
     rows = [("q", "a", u, i) for i, u in enumerate(["x", "y", "y", "x", "y", "x"])] + [("q", "b", u, i) for i, u in enumerate("xxyy")] + [("q", "c", u, i) for i, u in enumerate("xxxyyyzz")]
     got = {(r["g"], r["unit"]) for r in evidence.dominant_unit(spark.createDataFrame(rows, "qid string, g string, unit string, seat int")).collect()}

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from engramma import queries
 from engramma.catalog import Catalog
 from engramma.operators import channels, matching, ranking, vocabulary
 from engramma.plans.execute import execute
@@ -207,3 +208,12 @@ def test_empty_tables(spark):
     req = spark.createDataFrame([("q", "g0", ["t0"])], "qid string, g string, topics array<string>")
     assert matching.matched(none, req).count() == 0
     assert vocabulary.taxonomy_tree(none).count() == 0 and ranking.branches(none).count() == 0
+
+
+def test_the_registered_choice_fills_the_tokens_of_the_reference(spark, monkeypatch):
+    c, rows = make(spark, books=1), [("q", "g0", "fact", f"g0F{i}", f"u{i}", 1.0, i + 1) for i in range(40)]
+    plan = spark.createDataFrame(rows, "qid string, g string, type string, id string, unit string, score double, rank int")
+    c.fact = spark.createDataFrame([(r[1], r[3], r[4], "x" * 168) for r in rows], "g string, id string, unit string, text string")
+    monkeypatch.setattr(queries, "_fused", lambda *_: (c, plan.drop("unit", "score"), plan))
+    got = queries.QUERIES["select_rows_by_tokens"](spark, "").collect()  # each row costs 50
+    assert [r["id"] for r in sorted(got, key=lambda r: r["seat"])] == [f"g0F{i}" for i in range(34)] and sum(r["cost"] for r in got) == 1700
