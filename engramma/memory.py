@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from engramma.catalog import Catalog
 from engramma.functions.lexical import documents, frequencies
-from engramma.operators import channels, evidence, ingest
+from engramma.operators import channels, evidence, ingest, vocabulary
 from engramma.plans import questions
 from engramma.plans.execute import execute
 from engramma.plans.plan import Plan, PlanError
@@ -201,7 +201,18 @@ class Memory:
             written = Plan.from_dict(asked(self.provider, _PLAN.format(question=question, topics=" ".join(codes), kinds=" ".join(KINDS), speakers=" ".join(speakers))))
         except PlanError:
             return None
-        return questions.fitted(written, question, questions.anchors(question, speakers), codes)
+        return questions.fitted(written, question, questions.anchors(question, speakers), self._resolvable(written))
+
+    def _resolvable(self, plan: Plan) -> set[str]:
+        """What of a plan's own topics and entities, as it writes them, the memory knows: held against its whole tables."""
+        c = self.catalog
+        named = [(self.codebook, "topics", t) for q in plan.queries for t, _ in q.where.topics] + [(self.codebook, "entities", e) for q in plan.queries for e in q.where.entities]
+        if not named:
+            return set()
+        names = self.spark.createDataFrame(named, "g string, axis string, surface string")
+        topics = vocabulary.resolve_topics(c, names.where("axis = 'topics'"))
+        entities = vocabulary.resolve_entities(c, names.where("axis = 'entities'"))
+        return {r["surface"] for r in topics.select("surface", "code").union(entities.select("surface", "code")).where("code is not null").collect()}
 
     def recall(self, query: str, limit: int = 10) -> list[dict]:
         """The facts that fit a query best: plan, words and dates, fused."""

@@ -48,6 +48,22 @@ def test_recall_and_plans(spark, small):
     assert len(got) <= 4 and len({r["unit"] for r in got}) == len(got)
 
 
+def test_plans_resolve_against_the_whole_vocabulary(spark, small):
+    m = Memory.load(spark, small, "cb-commons", Scripted([]))
+    topics = [("cb-commons", f"topic_{i:03}", "canonical", "") for i in range(320)]
+    m.catalog.topic = spark.createDataFrame(topics, "g string, code string, status string, born string")
+    m.catalog.entity = spark.createDataFrame([("cb-commons", "the_kettle", "product", "Kettle")], "g string, code string, etype string, name string")
+    m.catalog.alias = spark.createDataFrame([("cb-commons", "boiler", "the_kettle")], "g string, surface string, code string")
+
+    def grep(**where):
+        m.provider.answers = [json.dumps({"queries": [{"where": where, "pipe": [{"op": "head", "n": 1}]}]})]
+        return m.plan("Which kettle came first?").queries[0].where.grep
+
+    assert grep(topics=["topic_001"]) == grep(topics=["topic_319"]) == grep(topics=["Topic 319", "gone"]) == ""
+    assert grep(entities=["the_kettle"]) == grep(entities=["Boiler"]) == ""
+    assert grep(topics=["the_kettle"]) == grep(entities=["topic_319"]) == grep() == "came|first|kettle|which"
+
+
 def test_faults(spark, small):
     m = Memory.load(spark, small, "cb-commons", Scripted(["not json"]))
     with pytest.raises(ConfigurationFault):
