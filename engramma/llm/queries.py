@@ -18,10 +18,13 @@ from engramma.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def utterances(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, rec_id, turn_key, text) of the three tables of utterances; dialogue turns without dia_id are left out."""
+def utterances(spark: SparkSession, d: str, unnamed: bool = False) -> DataFrame:
+    """(tbl, rec_id, turn_key, text) of the three tables of utterances; dialogue turns without dia_id are left out, or, with
+    ``unnamed``, come under ``<session>:<position>``."""
     line = table(spark, d, "line").select(F.lit("line").alias("tbl"), F.col("id").alias("rec_id"), F.lit("").alias("turn_key"), "text")
-    talk = dialogue_turns(table(spark, d, "locomo10")).where("dia_id is not null").select(F.lit("locomo10").alias("tbl"), "rec_id", F.col("dia_id").alias("turn_key"), "text")
+    turns = dialogue_turns(table(spark, d, "locomo10"))
+    key = F.when(F.col("dia_id") != "", F.col("dia_id")).otherwise(F.concat_ws(":", "session", "pos")) if unnamed else F.col("dia_id")
+    talk = turns.select(F.lit("locomo10").alias("tbl"), "rec_id", key.alias("turn_key"), "text").where("turn_key is not null")
     stack = haystack_turns(table(spark, d, "longmemeval_s_cleaned")).select(
         F.lit("longmemeval_s_cleaned").alias("tbl"), "rec_id", F.concat_ws(":", "session_pos", "turn_pos").alias("turn_key"), F.col("content").alias("text")
     )
@@ -35,7 +38,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     given, family = gazetteers(table(spark, d, "codebook"), table(spark, d, "entity"))
-    texts = utterances(spark, d)
+    texts = utterances(spark, d, unnamed=True)
     return redacted(texts, find_pii(spark, texts, given, family))
 
 

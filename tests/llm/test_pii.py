@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from engramma.llm import queries as llm_queries
 from engramma.llm.pii import Finder, find_pii, redact, redacted, reliabilities
 
 GIVEN, FAMILY = frozenset({"robert", "zoe", "amelie", "oskar"}), frozenset({"kottistrom", "vespehl", "drospissen"})
@@ -84,3 +85,17 @@ def test_texts_of_any_kind_do_no_harm():
     for t in ["@", "@@ @", "1" * 5000, "a@b" * 999, "\x00​", "Dr.", ", Robert", "Robert", "ROBERT VESPEHL" * 50, "+" * 300, "(" * 300 + "5"]:
         for kind, s, e, votes, _ in finder.spans(t):
             assert 0 <= s < e <= len(t) and len(votes) == 6 and kind
+
+
+def test_turns_without_dia_id_are_redacted(spark, monkeypatch):
+    turns = spark.createDataFrame([("s", "session_2", 0, "D2:1", "hi"), ("s", "session_2", 1, None, "write to ann.lee@post.example please")], "rec_id string, session string, pos int, dia_id string, text string")
+    lines = spark.createDataFrame([("l1", "hello")], "id string, text string")
+    stack = spark.createDataFrame([("q", 0, 0, "hello")], "rec_id string, session_pos int, turn_pos int, content string")
+    names = spark.createDataFrame([("c", "ann")], "codebook_id string, speakers string")
+    entities = spark.createDataFrame([("c", "ann_lee", "person", "Ann Lee", None)], "codebook_id string, code string, etype string, name string, aliases array<string>")
+    monkeypatch.setattr(llm_queries, "table", lambda _, __, n: {"line": lines, "codebook": names, "entity": entities}.get(n))
+    monkeypatch.setattr(llm_queries, "dialogue_turns", lambda _: turns)
+    monkeypatch.setattr(llm_queries, "haystack_turns", lambda _: stack)
+    got = {r["turn_key"]: r["text"] for r in llm_queries.p1_redacted(spark, "").where("tbl = 'locomo10'").collect()}
+    assert got.keys() == {"D2:1", "session_2:1"} and "@" not in got["session_2:1"] and got["session_2:1"].startswith("write to ")
+    assert {r["turn_key"] for r in llm_queries.utterances(spark, "").where("tbl = 'locomo10'").collect()} == {"D2:1"}
