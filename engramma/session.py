@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL = re.compile(r"local(\[|-cluster|$)")
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``; no schema inference beyond the Parquet footers."""
@@ -17,19 +21,26 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a folder of its own; on a cluster that is an error, since the
+    machines would not see each other's files.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where
+    if not _LOCAL.match(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = _own_dir()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
+    spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 @functools.cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="engramma-")
+    own = tempfile.mkdtemp(prefix="engramma-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,13 +52,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back (column pruning works on the copy)."""
+    """Write ``df`` as Parquet below the shared folder and read it back (column pruning works on the copy); deleted at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored table when the application ends; results that read it are lazy, so not before."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone already; nothing is lost but space
+        pass
+
+
 def local_spark(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -13,13 +13,13 @@ EXTRACTED = {"facts": [{"content": "Ann bought a kettle.", "kind": "event", "who
 @pytest.fixture
 def store(small, tmp_path):
     shutil.copytree(small, tmp_path / "m")
+    (tmp_path / "m").chmod(0o755)  # the copy of a read-only folder is read-only too
     for p in (tmp_path / "m").iterdir():  # tables are folders where they are appended to
         if p.is_file() and p.name in ("line.parquet", "fact.parquet", "unit.parquet"):
             p.chmod(0o644)
             p.rename(p.with_suffix(".tmp"))
             p.mkdir()
             p.with_suffix(".tmp").rename(p / "part-0.parquet")
-    (tmp_path / "m").chmod(0o755)
     return str(tmp_path / "m")
 
 
