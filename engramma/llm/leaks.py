@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramma.functions.plaintext import plain_text, plain_words
+from engramma.llm.plaintext import plain_text, plain_words
 from engramma.session import stored
 
 RUN = 12

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engramma.functions.plaintext import INVISIBLE, LOOKALIKES
+from engramma.llm.plaintext import INVISIBLE, LOOKALIKES
 from engramma.session import cut, stored
 
 #: Least Jaccard similarity of the q-grams of two tokens.

@@ -1,18 +1,19 @@
 """Problem 1: personal information in free text, found and replaced by typed placeholders.
 
-Weak supervision. Broad patterns propose spans of five types; for each span, labelers of three kinds vote for (1),
-against (-1) or not at all (0): patterns (strict forms of the type), gazetteers (given and family names of the tables)
-and contexts (words before and after). Votes are counted over the whole corpus; expectation-maximisation on these counts
-estimates each labeler's reliability and a probability for each pattern of votes; a logistic span classifier, trained on
-these probabilities as soft labels, has the last word. Both models see the corpus only as counts of distinct patterns,
-whose number depends on the labelers and not on the corpus.
+Weak supervision. Broad patterns propose spans of five types; for each span six labelers vote for (1), against (-1) or not
+at all (0). They are of three kinds: patterns (strict forms, order, case), gazetteers (given and family names and heads of
+other names of the tables, top-level labels, calling codes, check letters, street kinds) and contexts (words before and
+after). No test votes twice. Votes are counted over the whole corpus; expectation-maximisation on these counts estimates
+each labeler's reliability and a probability for each pattern of votes; a logistic span classifier, trained on these
+probabilities as soft labels, has the last word. Both models see the corpus only as counts of votes and shapes, of which
+there are at most 3^6 * 224 a type, however large the corpus is.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,22 @@ CANDIDATES = "tbl string, rec_id string, turn_key string, pii_type string, start
 GAZETTEER_MAX = 1_000_000
 
 # --- email ---------------------------------------------------------------------------------------------------------
-_AT = r"(?:\s?@\s?|\s?\[at\]\s?|\s?\(at\)\s?|\sat\s)"
-_DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
-_EMAIL = re.compile(rf"(?<![\w.+-])[\w+-]+(?:{_DOT}[\w+-]+)*{_AT}(?!\s)[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*", re.I)
-_EMAIL_STRICT = re.compile(rf"[\w.+-]+(?:{_DOT}[\w.+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.I)
-_EMAIL_NEAR = re.compile(r"mail|correo|courriel|write|schreib|écris|escríbe|\bcc\b|invite|newsletter|address|adresse", re.I)
+_DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
+_HOST = rf"[\w-]+(?:{_DOT}[\w-]+)*"
+#: The sign of an address: written, in brackets, or as a word before a host that has a dot.
+_SIGN = re.compile(rf"\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?|\sat\s(?=[\w-]+{_DOT}[\w-])", re.I)
+_LOCAL = re.compile(rf"(?<![\w.+-])[\w+-]+(?:{_DOT}[\w+-]+)*\Z", re.I)
+#: No local part is looked for farther back than this; the longest that mail allows is 64, and written-out dots add to it.
+_LOCAL_MOST = 256
+_DOMAIN = re.compile(_HOST, re.I)
+_DOMAIN_SPACED = re.compile(r"[\w-]+(?:\s?\.\s(?=(?-i:[a-z0-9]))[\w-]+|\s\.[\w-]+)+", re.I)
+_ENDS_TOP = re.compile(rf".*(?:{_DOT}|\s?\.\s?)[^\W\d_]{{2,}}", re.I | re.S)
+_LABEL = re.compile(r"[^\W_]+")
+_EMAIL_NEAR = re.compile(r"mail|correo|courriel|write|schreib|écris|escríbe|\bcc\b|invite|newsletter|address|adresse|contact|reach", re.I)
+# Top-level labels in wide use or reserved for examples.
+_TOP = set("com org net edu gov int info biz name dev app io co me uk de fr es it nl be ch at eu us ca au jp cn in br pt se no fi dk pl example test invalid".split())
+# Words before a spelled sign that belong to the sentence.
+_NO_LOCAL = set("me us him her them you it i we they is are was were be am look meet see call stay live work arrive photos".split())
 
 # --- numbers -------------------------------------------------------------------------------------------------------
 _NUMBER = re.compile(
@@ -43,9 +55,11 @@ _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)
 _SPOKEN = re.compile(rf"(?<!\w){_WORD}(?:[\s,-]+{_WORD}){{5,}}(?!\w)", re.I)
 _PHONE_STRICT = re.compile(
     r"(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[.-])\d{3}[ .-]\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}"  # North America
-    r"|\+\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d ./-]{5,14}\d|00\d{2}[ .-]\d[\d ./-]{5,13}\d"  # international
+    r"|\+\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d[\d ./-]{5,14}\d|00\d{2}[ .-](?=(?:\D?\d){7})\d[\d ./-]{5,13}\d"  # international
     r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /]{1,3}\d{3,8}(?:[ -]\d{1,5}){0,2}"  # national with trunk 0
 )
+# Calling codes of countries; at least seven digits follow.
+_CALLING = re.compile(r"(?:\+\s?|00)(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-8]|35\d|37\d|38\d|42[013]|85\d|97\d)(?=(?:\D*\d){7})")
 _EXT = re.compile(r",?\s?(?:ext\.?|x|Durchwahl|poste)\s?\d{1,5}$", re.I)
 _PHONE_NEAR = re.compile(r"\bcall|\btext\b|\btel|phone|number is|\brang\b|\bring|\bruf|appelle|tel[eé]fono|m[oó]vil|mobile|handy|nummer|numéro de téléphone|best number", re.I)
 _ID_STRICT = re.compile(
@@ -57,10 +71,14 @@ _ID_NEAR = re.compile(
     r"|\bid card|identity|ausweis|carte d.identité|\bdni\b|\bnie\b|\bnif\b|steuer-?id|steuernummer|sécu\b|sécurité sociale|seguridad social|sozialversicherung|tax (?:id|number|no)|\btin\b|insurance n|personalausweis",
     re.I,
 )
+#: Words beside numbers that count or label other things.
 _OTHER_NEAR = re.compile(
-    r"invoice|order|version|track|ticket|serial|coordinates|book code|isbn|room|rechnung|bestellung|factura|pedido|facture|commande|route|build|page|score|parcel|tracking|gauge|model|scored|euros?|kilomet",
+    r"invoice|order|version|track|ticket|serial|coordinates|isbn|\bbook\b|room|rechnung|bestellung|factura|pedido|facture|commande|route|build|page|score|parcel|gauge|model|euros?|kilomet",
     re.I,
 )
+_ISBN = re.compile(r"97[89][ -]?\d{1,5}[ -]?\d{1,7}[ -]?\d{1,7}[ -]?\d")
+#: Check letters of the Spanish identity number.
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 # --- streets -------------------------------------------------------------------------------------------------------
 _KIND_EN = r"(?:street|st|road|rd|lane|ln|avenue|ave|drive|dr|close|terrace|court|crescent|boulevard|blvd|square|way|row|mews|parade|grove)"
@@ -70,39 +88,43 @@ _STREET_DE = re.compile(
     r"|(?:am|an der|an den|im|auf der|auf dem|zum|zur|beim|hinter der|unter den)\s(?!(?:jan|feb|mär|apr|mai|jun|jul|aug|sep|okt|nov|dez|mon|die|mit|don|fre|sam|son)\w*\s)[A-ZÄÖÜ][\w-]{3,})\s?\d{1,3}\s?[a-z]?(?!\w|[.:]\d|\s(?:euro|minuten|uhr|tage|stunden|kilo|jahre|wochen))",
     re.I,
 )
-_STREET_FR = re.compile(r"(?<![\w.,:@/-])\d{1,4}\s?(?:bis|ter)?,?\s(?:rue|chemin|impasse|avenue|av\.|boulevard|bd|place|quai|allée|cours|passage|route|sentier)\s(?:(?:de|du|des|la|le|les|l')\s?)*[\w'’-]+(?:[ -][A-ZÉÈ][\w'’-]+)*", re.I)
+_STREET_FR = re.compile(r"(?<![\w.,:@/-])\d{1,4}\s?(?:bis|ter)?,?\s(?:rue|chemin|impasse|avenue|av\.|boulevard|bd|place|quai|allée|cours|passage|route|sentier)\s(?:(?:de|du|des|la|le|les|l')\s?)*[\w'’-]+(?:[ -](?-i:(?!(?:Nous|Je|Tu|Il|Elle|On|Les?|La|Mon|Ma|Mes|Une?|Quand|Notre|Mais|Et)\b)[A-ZÉÈ][\w-]+))*", re.I)
 _STREET_ES = re.compile(
-    r"(?<!\w)(?<!\d\s)(?:calle|c/|c\.(?=\s(?:de|del|(?-i:[A-ZÁÉÍÓÚÑ])))|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda|travesía|carrera)\s?(?:(?:de|del|la|las|los|el)\s)*[\w'’-]+(?:\s(?!nº|n\.º|núm)[^\W\d][\w'’-]+){0,3},?\s(?:nº|n\.º|núm\.?|número)?\s?\d{1,4}(?!\w)", re.I
-)
-_STREET_WORD = re.compile(
-    rf"\d\s?[a-z]?,?\s(?:[\w'’-]+\s){{1,3}}?{_KIND_EN}\b|(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|chaussee)\s?\d|\b(?:am|an de[rn]|im|auf de[rm]|zu[mr]|beim|hinter der|unter den)\s[\w-]{{4,}}\s\d|\b(?:rue|chemin|impasse|avenue|av\.|boulevard|bd|place|quai|allée|cours|passage|route|sentier)\b|\b(?:calle|c/|c\.|avenida|avda|plaza|pza|paseo|camino|ronda|travesía|carrera)",
-    re.I,
+    r"(?<!\w)(?<!\d\s)(?:calle\s|c/\s?|c\.\s(?=de|del|(?-i:[A-ZÁÉÍÓÚÑ]))|avenida\s|avda\b\.?\s?|av\.\s?|plaza\s|pza\b\.?\s?|paseo\s|camino\s|ronda\s|travesía\s|carrera\s)(?:(?:de|del|la|las|los|el)\s)*[\w'’-]+(?:\s(?!nº|n\.º|núm)[^\W\d][\w'’-]+){0,3},?\s(?:nº|n\.º|núm\.?|número)?\s?\d{1,4}(?!\w)", re.I
 )
+#: Words that no street is called by: what stands between number and kind is a sentence.
 _STREET_NOT = re.compile(
-    r"\b(?:to|went|of|at|for|in|from|minutes?|hours?|days?|weeks?|years?|euros?|kilomet\w+|percent|things|and|people|times|is|was|we|the|on|my|after|before|with|near|old and|lap|steps?|metres?|points?|saplings)\b", re.I
+    r"\b(?:to|went|of|at|for|in|from|minutes?|hours?|days?|weeks?|years?|euros?|kilomet\w+|percent|things|and|people|times|is|was|we|the|on|my|after|before|with|near|old and|lap|steps?|metres?|points?)\b", re.I
 )
 _STREET_NEAR = re.compile(r"live|wohn|habite|vivo|moved|deliver|lieferadresse|livraison|entrega|adress|dirección|domicilio|key is|pick (?:me|us) up|from:|flat|apt|schlüssel|clé|llave", re.I)
+# Kinds that mean a street and nothing else.
+_SURE_KIND = re.compile(r"street|\broad\b|\brd\b|\blane\b|avenue|\bave\b|boulevard|\bblvd\b|crescent|terrace|\bst\b|straße|strasse|str\.|gasse|allee|chaussee|\brue\b|chemin|impasse|calle|avda|avenida|paseo|\bc/", re.I)
+_KIND_SAID = re.compile(rf"\b(?:the|a|an|my|our|his|her|this|that)\s{_KIND_EN}\b", re.I)
+#: What may follow an address: a sign, the end, a post code, or a town.
+_STREET_END = re.compile(r"\s?,|\s?\n|\s?\||\.?\s|\.?$")
+_TOWN_NEXT = re.compile(r"(?:\s?,\s?|\s?\n\s?)(?:\d{4,5}\s)?[A-ZÄÖÜÉÁ][\w-]+")
 
 # --- names ---------------------------------------------------------------------------------------------------------
 _TITLE = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "doctor", "mme", "mlle", "monsieur", "madame", "herr", "frau", "señor", "señora", "sr", "sra", "srta", "don", "doña", "sir", "senor", "senora", "dona"}
+# Heads of the names of places, firms and ensembles; those that the tables use are learned besides.
 _PLACE = {
     "street", "st", "road", "rd", "lane", "avenue", "drive", "close", "terrace", "station", "arena", "harbour", "bridge", "forest", "valley", "point", "hill", "lake", "market", "library", "gardens",
     "park", "school", "university", "institute", "hospital", "quartet", "trio", "quintet", "orchestra", "choir", "band", "ensemble", "collective", "gmbh", "ltd", "llc", "inc", "limited", "sons", "brothers",
-    "company", "co", "ag", "sa", "foundation", "association", "club", "theatre", "museum", "cup", "prize", "award", "kettle", "lamp", "edition", "model", "museum", "festival", "bakery", "bank", "hall", "chor", "orchester",
+    "company", "co", "ag", "sa", "foundation", "association", "club", "theatre", "museum", "cup", "prize", "award", "festival", "bakery", "bank", "hall", "chor", "orchester",
 }
-# Fixed words that often begin a sentence in the languages of the tables; none is a family name there.
+# Function words, greetings and verbs that open sentences in the languages of the tables; no family names.
 _STARTERS = set(
     "i you he she it we they the a an my our your his her their this that these those there here what how why where when who which let could please thanks thank regards cordialement saludos grüße honestly well luckily "
-    "actually sadly after before since next no not yes and or but if as at in on by for from to text call ask order track room version coordinates ticket volunteering gardening birdwatching physiotherapy sleep chess language "
-    "saving moving bread home night endurance all strangely once one two three der die das ein eine mein meine unser unsere ich wir sie es er hat habe wann wie was wo warum weißt erzähl nächsten ehrlich für im am kommt ruf schreib "
-    "tel le la les un une mon ma mes notre nous je tu il elle ils quand comment pourquoi où te franchement écris appelle el los las una mi mis nuestro nuestra yo tú ella cuándo cómo qué por dónde hablamos tardé pagué todavía "
-    "cuéntame escríbeme entrega livraison lieferadresse flat deliver driver passport dni nie ssn carte steuer im viele".split()
+    "actually sadly after before since next no not yes and or but if as at in on by for from to text call ask order all one two three once "
+    "der die das ein eine mein meine unser unsere ich wir sie es er hat habe wann wie was wo warum weißt erzähl nächsten ehrlich für im am kommt ruf schreib viele "
+    "le la les un une mon ma mes notre nous je tu il elle ils quand comment pourquoi où te franchement écris appelle el los las una mi mis nuestro nuestra yo tú ella cuándo cómo qué por dónde hablamos todavía "
+    "cuéntame escríbeme tel flat passport driver deliver entrega livraison lieferadresse dni nie ssn".split()
 )
 # Fixed words that are given names or nicknames when they begin with a capital, and common words otherwise.
 _COMMON_GIVEN = {"will", "bill", "rob", "mark", "art", "may", "june", "joy", "hope", "faith", "grace", "rose", "lily", "ivy", "drew", "chip", "jack", "frank", "peg", "pat", "sue", "nick"}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
-_NAME_NEAR = re.compile(r"name is|is called|ask for|is with|finally met|thanks|regards|from:|grüße|cordialement|saludos|it was|termin ist bei|avec|cita es con|heiß|llam|appelle|name ist|nom est|nombre es|signed", re.I)
-_NAME_AFTER = re.compile(r"^[\s,]*(?:will sign|unterschreibt|signera|firmará|who lent|at the desk|at the fair|this time|\||\n|$)", re.I)
+_NAME_NEAR = re.compile(r"name is|is called|ask for|is with|\bmet\b|thanks|regards|from:|grüße|cordialement|saludos|it was|termin ist bei|avec|cita es con|heiß|llam|appelle|name ist|nom est|nombre es|signed|contact|attn|dear", re.I)
+_NAME_AFTER = re.compile(r"^(?:[\s,]*(?:will|unterschreibt|signera|firmará|who|wrote|called|said)\b|\s*(?:\||\n|$))", re.I)
 
 
 def plain(word: str) -> str:
@@ -117,19 +139,41 @@ def _votes(*v: int) -> str:
 Span = tuple[str, int, int, str, str]
 
 
-def _emails(text: str) -> Iterator[Span]:
-    for m in _EMAIL.finditer(text):
-        s = m.group()
-        strict = bool(_EMAIL_STRICT.fullmatch(s))
-        symbol = "@" in s
-        spelled = not symbol and "[at]" not in s.lower() and "(at)" not in s.lower()
-        near = text[max(0, m.start() - 28) : m.start()]
-        handle = bool(re.search(r"\s@\s", s)) and not re.search(_DOT, s.split("@")[-1])
-        if spelled and not strict:
+def _proposed(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, sign, end of sign, stop) of everything that has the parts of an address; none reaches into the next one."""
+    signs = list(_SIGN.finditer(text))
+    floor = 0
+    for i, m in enumerate(signs):
+        if m.start() < floor:
+            continue  # a word of the address before
+        head = _LOCAL.search(text, max(floor, m.start() - _LOCAL_MOST), m.start())
+        spaced = m.group()[0].isspace() and m.group()[-1].isspace() and "@" in m.group()
+        host = spaced and _DOMAIN_SPACED.match(text, m.end()) or _DOMAIN.match(text, m.end())
+        if not head or not host:
+            continue
+        # of "at jo@host" the second sign is meant
+        if i + 1 < len(signs) and signs[i + 1].start() <= host.end() and signs[i + 1].start() > m.start() and host.end() <= signs[i + 1].end() and "@" not in m.group():
             continue
-        yield "email", m.start(), m.end(), _votes(1 if strict else -1, 1 if symbol and re.fullmatch(r"\S+@\S+\.\w{2,}", s) else 0, 1 if _EMAIL_NEAR.search(near) else 0, -1 if handle else 0, 1 if strict else 0), (
-            "symbol" if symbol else "spelled" if spelled else "bracket"
-        )
+        yield head.start(), m.start(), m.end(), host.end()
+        floor = host.end()
+
+
+def _emails(text: str, names: frozenset[str] | set[str] = frozenset()) -> Iterator[Span]:
+    for start, at, past, stop in _proposed(text):
+        sign, local, host = text[at:past], text[start:at], text[past:stop]
+        symbol = "@" in sign
+        spelled = not symbol and sign.strip().lower() == "at"
+        near = text[max(0, start - 28) : start]
+        labels = _LABEL.findall(host)
+        spaced_host = symbol and sign != "@" and host[:1].isupper()
+        yield "email", start, stop, _votes(
+            1 if _ENDS_TOP.fullmatch(host) else -1,
+            1 if labels and labels[-1].lower() in _TOP else 0,
+            1 if any(plain(w) in names for w in re.findall(r"[^\W\d_]+", local)) or any(c.isdigit() or c in "._+-" for c in local) else 0,
+            1 if _EMAIL_NEAR.search(near) else 0,
+            1 if sign == "@" else -1 if spaced_host else 0,
+            -1 if local.lower() in _NO_LOCAL else 0,
+        ), "symbol" if symbol else "spelled" if spelled else "bracket"
 
 
 def _runs(text: str) -> Iterator[tuple[int, str]]:
@@ -141,10 +185,26 @@ def _runs(text: str) -> Iterator[tuple[int, str]]:
         yield from [(m.start(), s)] if at is None else [(m.start(), s[:at]), (m.start() + at + 1, s[at + 1 :])]
 
 
+def _checked(core: str) -> bool:
+    """Whether the check letter of a Spanish number is right."""
+    flat = core.replace("-", "").replace(" ", "")
+    if not re.fullmatch(r"[XYZ0-9][0-9]{7}[A-Z]", flat):
+        return False
+    return _DNI[int(flat[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == flat[-1]
+
+
+def _shape(core: str, digits: int, letters: int) -> str:
+    """One of at most 8 * 4 * 7 classes."""
+    seps = {c for c in core if not c.isalnum()} - {"+"}
+    kind = "" if not seps else seps.pop() if len(seps) == 1 else "m"
+    return f"{min(max(digits, 5), 12)}d{min(letters, 3)}l{kind if kind in ' -./(m' else 'o'}"
+
+
 def _numbers(text: str, spoken: bool) -> Iterator[Span]:
     for m in _SPOKEN.finditer(text) if spoken else ():
         near = text[max(0, m.start() - 30) : m.start()] + " " + text[m.end() : m.end() + 25]
-        yield "phone", m.start(), m.end(), _votes(1, 1, 1 if _PHONE_NEAR.search(near) else 0, -1 if _OTHER_NEAR.search(near) else 0, 1), "words"
+        said = len(re.findall(r"[a-z]+", m.group(), re.I))
+        yield "phone", m.start(), m.end(), _votes(1 if said >= 7 else 0, 0, 1 if _PHONE_NEAR.search(near) else 0, -1 if _OTHER_NEAR.search(near) else 0, 0, 1 if re.search(r"\b(?:oh|double|triple)\b|,", m.group(), re.I) else 0), "words"
     for start, s in _runs(text):
         digits = sum(c.isdigit() for c in s)
         if digits < 5 or len(s) < 7:
@@ -155,34 +215,40 @@ def _numbers(text: str, spoken: bool) -> Iterator[Span]:
         core = _EXT.sub("", s)
         letters = sum(c.isalpha() for c in core)
         id_near, phone_near, other = bool(_ID_NEAR.search(left)), bool(_PHONE_NEAR.search(left + " # " + right)), bool(_OTHER_NEAR.search(left + " # " + right))
-        phone_form, id_form = bool(_PHONE_STRICT.fullmatch(core)), bool(_ID_STRICT.fullmatch(core))
-        sep = "".join(sorted({c for c in core if not c.isalnum()}))
-        shape = f"{digits}d{min(letters, 4)}l{sep}"
+        shape = _shape(core, digits, letters)
         stop = start + len(s)
         if letters == 0 and 7 <= digits <= 16:
-            yield "phone", start, stop, _votes(1 if phone_form and (phone_near or not other) else 0 if phone_near else -1, 1 if s[0] in "+(" or s.startswith("0") and phone_form else 0, 1 if phone_near else 0, -1 if id_near or other else 0, -1 if id_form and id_near else 0, -1 if not sep and not phone_near and s[0] != "+" else 0), shape
+            yield "phone", start, stop, _votes(
+                1 if _PHONE_STRICT.fullmatch(core) else -1, 1 if _CALLING.match(core) or core[0] == "(" else 0, 1 if phone_near else 0, -1 if other else 0,
+                -1 if id_near or _ISBN.fullmatch(core) else 0, -1 if core.isdigit() else 0,
+            ), shape
         if digits >= 5 and (letters + digits) >= 8:
-            yield "national_id", start, stop, _votes(1 if id_near else -1, 1 if id_form else 0, -1 if other and not id_near else 0, -1 if phone_form and not id_near else 0, -1 if phone_near and not id_near else 0), shape
+            yield "national_id", start, stop, _votes(
+                1 if _ID_STRICT.fullmatch(core) else 0, 1 if _checked(core) else -1 if _ISBN.fullmatch(core) else 0, 1 if id_near else -1, -1 if other and not id_near else 0,
+                -1 if _CALLING.match(core) or core[0] == "(" else 0, -1 if phone_near and not id_near else 0,
+            ), shape
+
+
+STREETS = {"en": _STREET_EN, "de": _STREET_DE, "fr": _STREET_FR, "es": _STREET_ES}
 
 
-def _streets(text: str) -> Iterator[Span]:
-    if not _STREET_WORD.search(text):
-        return
-    for lang, pattern in (("en", _STREET_EN), ("de", _STREET_DE), ("fr", _STREET_FR), ("es", _STREET_ES)):
-        for m in pattern.finditer(text):
+def _streets(text: str, languages: Iterable[str] = tuple(STREETS)) -> Iterator[Span]:
+    for lang in languages:
+        for m in STREETS[lang].finditer(text):
             s = m.group()
             near = text[max(0, m.start() - 36) : m.start()]
             middle = re.sub(r"^(?:flat|apt|unit|suite)\.?\s\w+,?\s", "", s, flags=re.I) if lang == "en" else s
-            odd = bool(lang in ("en", "es") and _STREET_NOT.search(middle))
-            caps = bool(re.search(r"\s[A-ZÄÖÜÉ]", s) or re.match(r"[A-ZÄÖÜÉ]", s))
-            yield "street_address", m.start(), m.end(), _votes(-1 if odd else 1, 1 if caps and not odd else 0, 1 if _STREET_NEAR.search(near) else 0, -1 if odd else 0, 1 if not odd and re.match(r"\s?,|\s?\n|\s?\||\.?\s|\.?$", text[m.end() :]) else 0), lang
+            yield "street_address", m.start(), m.end(), _votes(
+                -1 if lang in ("en", "es") and _STREET_NOT.search(middle) else 1, 1 if re.search(r"\s[A-ZÄÖÜÉ]", s) or re.match(r"[A-ZÄÖÜÉ]", s) else 0, 1 if _STREET_NEAR.search(near) else 0,
+                -1 if _KIND_SAID.search(s) else 1 if _SURE_KIND.search(s) else 0, 0 if _STREET_END.match(text, m.end()) else -1, 1 if _TOWN_NEXT.match(text, m.end()) else 0,
+            ), lang
 
 
 class Names:
-    """Proposes name spans with the gazetteers of given and family names (plain lower case)."""
+    """Proposes name spans with the gazetteers of given and family names, and of heads of other names (plain lower case)."""
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
-        self.given, self.family = given, family
+    def __init__(self, given: frozenset[str], family: frozenset[str], heads: frozenset[str] = frozenset()) -> None:
+        self.given, self.family, self.heads = given, family, heads | _PLACE
         self.common = _COMMON_GIVEN
         self.roles: dict[str, str] = {}
 
@@ -228,8 +294,8 @@ class Names:
                 after = plain(words[b + 1][0]) if b + 1 < len(words) and text[words[b][2] : words[b + 1][1]].strip() == "" else ""
                 before, behind = text[max(0, s - 26) : s], text[e : e + 16]
                 yield "person_name", s, e, _votes(
-                    1 if r == "f" else -1, 1 if len(styles) == 1 else -1, 1 if any(roles[j] in "gt" for j in range(a, b + 1)) else 0,
-                    1 if _NAME_NEAR.search(before) or _NAME_AFTER.match(behind) else 0, -1 if after in _PLACE else 0, -1 if r in "sg" or kind == "word given" else 0,
+                    1 if r == "f" else 0, 0 if len(styles) == 1 else -1, -1 if kind == "word given" else 1 if any(roles[j] in "gt" for j in range(a, b + 1)) else 0,
+                    1 if _NAME_NEAR.search(before) or _NAME_AFTER.match(behind) else 0, -1 if after in self.heads or plain(words[surname][0]) in self.heads else 0, -1 if r in "sg" else 0,
                 ), kind
                 done.update(range(a, b + 1))
                 break
@@ -284,28 +350,34 @@ class Names:
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_KINDS = set(_KIND_EN[3:-1].split("|")) | {"rue", "chemin", "impasse", "av", "bd", "place", "quai", "allée", "cours", "passage", "route", "sentier", "calle", "c", "avenida", "avda", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carrera"} | {"am", "an", "im", "auf", "zum", "zur", "beim", "hinter", "unter"}
-_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "chaussee")
+_DIGIT = re.compile(r"\d")
+_INNER = re.compile(r"['’-]")
+_EN = set(_KIND_EN[3:-1].split("|"))
+_FR = {"rue", "chemin", "impasse", "avenue", "av", "boulevard", "bd", "place", "quai", "allée", "cours", "passage", "route", "sentier"}
+_ES = {"calle", "c", "avenida", "avda", "av", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carrera"}
+_DE = {"am", "an", "im", "auf", "zum", "zur", "beim", "hinter", "unter"}
+_DE_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "chaussee")
 _SAYS = set(_WORD[3:-1].split("|"))
-_NEAR_WORDS = set("name called for with met thanks regards from grüße cordialement saludos was termin avec cita heiße heißt llamo llama llamas appelle nom nombre signed".split())
 _MEMO_MAX = 500_000
 
 
 class Finder:
-    """Candidate spans of texts. What a word can begin or take part in is looked up once a word, so that the patterns run
-    only over texts that can hold a span of the type."""
+    """Candidate spans of texts. What a word can begin or take part in is looked up once a word, and a pattern runs only
+    over texts that hold the words and signs without which it cannot match; :meth:`all_spans` runs them all."""
 
-    NAME, STREET, SAID, GIVEN, NEAR = 1, 2, 4, 8, 16
+    NAME, SAID, GIVEN, CAPITAL, AT, EN, DE, FR, ES = (1 << i for i in range(9))
+    STREET = EN | DE | FR | ES
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
-        self.names = Names(given, family)
+    def __init__(self, given: frozenset[str], family: frozenset[str], heads: frozenset[str] = frozenset()) -> None:
+        self.names = Names(given, family, heads)
+        self.parts_given, self.parts_family = ({p for n in names for p in _INNER.split(n)} for names in (given, family))
         self.memo: dict[str, int] = {}
 
     def _flags(self, word: str) -> int:
         low, flat = word.lower(), plain(word)
-        named = flat in self.names.family or flat in _TITLE
-        given = self.GIVEN * (flat in self.names.given) + self.NEAR * (low in _NEAR_WORDS)
-        out = given | (self.NAME if named else 0) | (self.STREET if low in _KINDS or low.endswith(_ENDS) else 0) | (self.SAID if low in _SAYS else 0)
+        out = self.NAME * (flat in self.parts_family or flat in _TITLE) + self.GIVEN * (flat in self.parts_given) + self.CAPITAL * word[:1].isupper()
+        out += self.SAID * (low in _SAYS) + self.AT * (low == "at")
+        out += self.EN * (low in _EN) + self.DE * (low in _DE or low.endswith(_DE_ENDS)) + self.FR * (low in _FR) + self.ES * (low in _ES)
         if len(self.memo) > _MEMO_MAX:
             self.memo.clear()
         self.memo[word] = out
@@ -313,53 +385,64 @@ class Finder:
 
     def spans(self, text: str) -> list[Span]:
         """The candidate spans of one text: (type, start, stop, votes, shape), at most one a place and type."""
-        memo, all_flags, said = self.memo, 0, 0
+        memo, seen, said, before, beside = self.memo, 0, 0, 0, 0
         for w in _WORDS.findall(text):
             f = memo.get(w)
             if f is None:
                 f = self._flags(w)
             if f:
-                all_flags |= f
-                said += f & self.SAID > 0
-        out: list[Span] = []
-        if "@" in text or "[at]" in text or "(at)" in text or " dot " in text or " DOT " in text or "(AT)" in text or "[AT]" in text:
-            out += _emails(text)
+                seen |= f
+                if f & 2:
+                    said += 1
+                if (f | before) & 4 and (f & 12 and before & 12):  # a given name beside another or a capital
+                    beside = 1
+            before = f
+        digits = sum(map(text.count, "0123456789")) if text.isascii() else len(_DIGIT.findall(text))
+        langs = [lang for lang, flag in (("en", self.EN), ("de", self.DE), ("fr", self.FR), ("es", self.ES)) if seen & flag] if digits else []
+        return self._all(text, "@" in text or bool(seen & self.AT), digits >= 5, said >= 6, langs, bool(seen & self.NAME or beside))
+
+    def all_spans(self, text: str) -> list[Span]:
+        """The same with every pattern run over the text."""
+        return self._all(text, True, True, True, list(STREETS), True)
+
+    def _all(self, text: str, mail: bool, numbers: bool, spoken: bool, langs: list[str], names: bool) -> list[Span]:
+        out: list[Span] = list(_emails(text, self.parts_given)) if mail else []
         taken = [(s, e) for _, s, e, v, _ in out if v[0] == "+"]
-        digits = sum(map(text.count, "0123456789"))
-        if digits >= 5 or said >= 6:
-            out += [c for c in _numbers(text, said >= 6) if not any(a < c[2] and c[1] < b for a, b in taken)]
-        if digits and all_flags & self.STREET:
-            out += _streets(text)
-        if all_flags & self.NAME or all_flags & self.GIVEN and all_flags & self.NEAR and _NAME_NEAR.search(text):
+        if numbers or spoken:
+            out += [c for c in _numbers(text, spoken) if not any(a < c[2] and c[1] < b for a, b in taken)]
+        if langs:
+            out += _streets(text, langs)
+        if names:
             out += self.names.find(text, taken)
         return out
 
 
 def spans(text: str, names: Names) -> list[Span]:
     """The same for a single text."""
-    return Finder(names.given, names.family).spans(text)
+    return Finder(names.given, names.family, names.heads).spans(text)
 
 
 # --- models --------------------------------------------------------------------------------------------------------
 def reliabilities(votes: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over distinct vote patterns with their counts.
 
+    A labeler has one reliability, the share of its votes that are right; that it does not vote says nothing of the case,
+    and how common cases are is no evidence for one.
     Returns each labeler's (class, labeler, vote) probabilities, the prior of the two classes, and each pattern's
     probability of being a case. Starts from the majority of votes, smoothed, so that the two classes keep their meaning.
     """
     balance = np.clip(votes.sum(1), -2, 2)
     p = 1 / (1 + np.exp(-2.0 * (balance - 0.25)))
-    theta = np.full((2, votes.shape[1], 3), 1 / 3)
-    prior = np.array([0.5, 0.5])
+    voted = (votes != 0).T @ count
     for _ in range(rounds):
         weight = np.stack([(1 - p) * count, p * count])
         prior = (weight.sum(1) + 1) / (count.sum() + 2)
-        for c in range(2):
-            for v in range(3):
-                theta[c, :, v] = ((votes == v - 1) * weight[c][:, None]).sum(0) + 0.5 + (1.5 if (v == 2) == (c == 1) and v != 1 else 0)
-            theta[c] /= theta[c].sum(1, keepdims=True)
-        score = np.stack([np.log(prior[c]) + np.log(theta[c][np.arange(votes.shape[1]), votes + 1]).sum(1) for c in range(2)])
-        p = 1 / (1 + np.exp(np.clip(score[0] - score[1], -40, 40)))
+        right = np.clip(((votes == 1).T @ weight[1] + (votes == -1).T @ weight[0] + 4) / (voted + 5), 0.5, 0.999)
+        odds = np.log(right / (1 - right))
+        p = 1 / (1 + np.exp(np.clip(-votes @ odds, -40, 40)))
+    cover = voted / count.sum()
+    wrong = 1 - right
+    theta = np.stack([np.stack([right * cover, 1 - cover, wrong * cover], 1), np.stack([wrong * cover, 1 - cover, right * cover], 1)])
     return theta, prior, p
 
 
@@ -389,17 +472,25 @@ def train_classifier(rows: list[tuple[str, str, str, int]], soft: dict[tuple[str
 
 
 # --- tables --------------------------------------------------------------------------------------------------------
-def gazetteers(codebook: DataFrame, entity: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names (of speakers and persons) and family names (of persons), plain; both counted before they are fetched."""
+Gazetteers = tuple[frozenset[str], frozenset[str], frozenset[str]]
+
+
+def gazetteers(codebook: DataFrame, entity: DataFrame) -> Gazetteers:
+    """Given names (of speakers and persons), family names (of persons) and heads of the names of places, firms and products,
+    all plain; each is counted before it is fetched."""
     spoken = codebook.select(F.explode(F.split("speakers", r"\s+")).alias("w")).where("w <> ''").distinct()
+    spaced = F.split(F.trim(F.regexp_replace("name", r"[.,\s]+", " ")), " ")
     person = entity.where("etype = 'person' and name is not null").select(F.regexp_replace("name", "[.]", " ").alias("name")).distinct()
     given = {plain(w) for (w,) in _bounded(spoken)} - {"user", "assistant", "system"}
     # the words beside a given name are family names, and those beside a family name are given names of another form
-    pairs = person.select(F.split(F.trim("name"), r"[\s,]+").alias("w")).where("size(w) between 2 and 4").select(F.explode(F.array(F.struct(F.col("w")[0].alias("a"), F.element_at("w", -1).alias("b")))).alias("p"))
-    ends = [(plain(a), plain(b)) for a, b in _bounded(pairs.select("p.a", "p.b").distinct())]
+    pairs = person.select(F.split(F.trim("name"), r"[\s,]+").alias("w")).where("size(w) between 2 and 4").select(F.col("w")[0].alias("a"), F.element_at("w", -1).alias("b"))
+    ends = [(plain(a), plain(b)) for a, b in _bounded(pairs.distinct())]
     family = {y for a, b in ends for x, y in ((a, b), (b, a)) if x in given and y not in given and len(y) > 2}
     given |= {x for a, b in ends for x, y in ((a, b), (b, a)) if y in family and x not in family and len(x) > 3 and x.isalpha() and x not in _TITLE | _STARTERS | {"coach", "boss", "leader"}}
-    return frozenset(given), frozenset(x for w in family for x in {w, *w.split("-")} if x.isalpha() and x not in given and x not in _TITLE)
+    family = {x for w in family for x in {w, *w.split("-")} if x.isalpha() and x not in given and x not in _TITLE}
+    other = entity.where("etype rlike '^(place|org|product)' and name is not null").select(F.filter(spaced, lambda w: ~w.rlike(r"\d")).alias("w")).where("size(w) > 1").select(F.element_at("w", -1).alias("w")).distinct()
+    heads = {plain(w) for (w,) in _bounded(other)}
+    return frozenset(given), frozenset(family), frozenset(w for w in heads if w.isalpha() and len(w) > 2 and w not in family and w not in given)
 
 
 def _bounded(df: DataFrame) -> list:
@@ -409,10 +500,10 @@ def _bounded(df: DataFrame) -> list:
     return rows
 
 
-def candidates(texts: DataFrame, given: frozenset[str], family: frozenset[str]) -> DataFrame:
+def candidates(texts: DataFrame, known: Gazetteers) -> DataFrame:
     """Candidate spans of (tbl, rec_id, turn_key, text), with votes; null and empty texts have none."""
 
-    shared = texts.sparkSession.sparkContext.broadcast((given, family))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(*shared.value)
@@ -451,12 +542,12 @@ def judged(spark: SparkSession, found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(keys), ["pii_type", "votes", "shape"], "left_semi")
 
 
-def find_pii(spark: SparkSession, texts: DataFrame, given: frozenset[str], family: frozenset[str]) -> DataFrame:
+def find_pii(spark: SparkSession, texts: DataFrame, known: Gazetteers) -> DataFrame:
     """Spans of personal information: (tbl, rec_id, turn_key, pii_type, start, stop), offsets in code points.
 
     Null, empty and blank texts have none; repeated rows give repeated spans; an empty table gives an empty result.
     """
-    found = stored(candidates(texts, given, family), "pii")
+    found = stored(candidates(texts, known), "pii")
     return judged(spark, found).select("tbl", "rec_id", "turn_key", "pii_type", "start", "stop")
 
 

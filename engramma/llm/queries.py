@@ -32,14 +32,14 @@ def utterances(spark: SparkSession, d: str, unnamed: bool = False) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    given, family = gazetteers(table(spark, d, "codebook"), table(spark, d, "entity"))
-    return find_pii(spark, utterances(spark, d), given, family).select("tbl", "rec_id", "turn_key", "pii_type").distinct()
+    known = gazetteers(table(spark, d, "codebook"), table(spark, d, "entity"))
+    return find_pii(spark, utterances(spark, d), known).select("tbl", "rec_id", "turn_key", "pii_type").distinct()
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    given, family = gazetteers(table(spark, d, "codebook"), table(spark, d, "entity"))
+    known = gazetteers(table(spark, d, "codebook"), table(spark, d, "entity"))
     texts = utterances(spark, d, unnamed=True)
-    return redacted(texts, find_pii(spark, texts, given, family))
+    return redacted(texts, find_pii(spark, texts, known))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from engramma.functions.plaintext import plain_words
+from engramma.llm.plaintext import plain_words
 from engramma.llm.leaks import leaks
 
 DOCS, ITEMS = "doc_id long, text string, item_id int", "item_id long, text string, question string, doc_id int"

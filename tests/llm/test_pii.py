@@ -2,11 +2,16 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from engramma.llm import queries as llm_queries
-from engramma.llm.pii import Finder, find_pii, redact, redacted, reliabilities
+from engramma.llm.pii import Finder, find_pii, gazetteers, redact, redacted, reliabilities
+from engramma.session import table
+from tests.llm.heldout_pii import HELD_OUT
 
 GIVEN, FAMILY = frozenset({"robert", "zoe", "amelie", "oskar"}), frozenset({"kottistrom", "vespehl", "drospissen"})
+KNOWN = GIVEN, FAMILY, frozenset()
 
 CASES = [
     ("write to a.b+memo@mail.example now", {"email"}),
@@ -49,14 +54,14 @@ def texts(spark):
 
 def test_cases(spark, texts):
     got: dict[str, set] = {}
-    for r in find_pii(spark, texts, GIVEN, FAMILY).collect():
+    for r in find_pii(spark, texts, KNOWN).collect():
         got.setdefault(r["rec_id"], set()).add(r["pii_type"])
     assert {t: got.get(f"{i}-0", set()) for i, (t, _) in enumerate(CASES)} == dict(CASES)
     assert not got.keys() & {"null", "empty", "long"}
 
 
 def test_redaction_keeps_the_rest(spark, texts):
-    out = {r["rec_id"]: r["text"] for r in redacted(texts, find_pii(spark, texts, GIVEN, FAMILY)).collect()}
+    out = {r["rec_id"]: r["text"] for r in redacted(texts, find_pii(spark, texts, KNOWN)).collect()}
     assert out["0-0"] == "write to [EMAIL] now"
     assert out["27-0"] == CASES[27][0] and out["null"] is None and out["empty"] == ""
 
@@ -66,7 +71,7 @@ def test_overlaps():
 
 
 def test_empty_table(spark, texts):
-    assert find_pii(spark, texts.limit(0), GIVEN, FAMILY).count() == 0
+    assert find_pii(spark, texts.limit(0), KNOWN).count() == 0
 
 
 def test_reliabilities_are_recovered():
@@ -99,3 +104,44 @@ def test_turns_without_dia_id_are_redacted(spark, monkeypatch):
     got = {r["turn_key"]: r["text"] for r in llm_queries.p1_redacted(spark, "").where("tbl = 'locomo10'").collect()}
     assert got.keys() == {"D2:1", "session_2:1"} and "@" not in got["session_2:1"] and got["session_2:1"].startswith("write to ")
     assert {r["turn_key"] for r in llm_queries.utterances(spark, "").where("tbl = 'locomo10'").collect()} == {"D2:1"}
+
+
+PARTS = st.sampled_from(
+    "Robert robert Zoe Jean-Luc O'Brien Kottistrom vespehl Kowalski Fischer A. J Dr. Frau señora Am Torfkanal 14a rue de la Gare 12 St Street straße Hauptstr. 7 Calle Mayor c/ avda. "
+    "jo@mail.example.org jo.smith @ [at] (AT) at AT dot DOT . , \t \n five oh double one two three +1 212 555 0149 ０３ 00 49 30 QQ 62 80 C 666-98-1590 x_y the Lane way by call ext. 978-0-00".split(" ")
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=14), st.sampled_from([" ", "", ", "]))
+def test_what_is_not_searched_holds_nothing(parts, between):
+    finder = Finder(GIVEN | {"jean-luc"}, FAMILY | {"o'brien"})
+    text = between.join(parts)
+    assert finder.spans(text) == finder.all_spans(text)
+
+
+def test_addresses_after_the_word_at():
+    finder = Finder(GIVEN, FAMILY)
+    for text, want in [
+        ("You can reach me at jo@mail.example.org today", "jo@mail.example.org"),
+        ("email me at jo.smith@mail.example.org", "jo.smith@mail.example.org"),
+        ("found at jo[At]mail.example.org", "jo[At]mail.example.org"),
+        ("reach me at\tjo dot smith\tat\tmail Dot example", "jo dot smith\tat\tmail Dot example"),
+        ("jo @ mail . example", "jo @ mail . example"),
+    ]:
+        assert [text[a:b] for kind, a, b, _, _ in finder.spans(text) if kind == "email"] == [want]
+
+
+def test_a_street_ends_before_the_next_sentence():
+    text = "Le livreur sonne au 1 bis, rue des Tisserands-Bleus J'ai un chien"
+    assert [text[a:b] for kind, a, b, _, _ in Finder(GIVEN, FAMILY).spans(text) if kind == "street_address"] == ["1 bis, rue des Tisserands-Bleus"]
+
+
+def test_utterances_apart_from_the_tables(spark, small):
+    """Recall and precision on text that no template made, judged by models of a corpus that it is part of."""
+    known = gazetteers(table(spark, small, "codebook"), table(spark, small, "entity"))
+    own = spark.createDataFrame([("held", str(i), "", t) for i, (t, _) in enumerate(HELD_OUT)], "tbl string, rec_id string, turn_key string, text string")
+    found = find_pii(spark, llm_queries.utterances(spark, small).unionByName(own), (known[0] | {"robert", "zoe", "benjamin", "amelie", "oskar", "ingrid", "henrik", "charles"}, *known[1:]))
+    got = {(int(r["rec_id"]), r["pii_type"]) for r in found.where("tbl = 'held'").collect()}
+    true = {(i, kind) for i, (_, kind) in enumerate(HELD_OUT) if kind}
+    assert len(got & true) >= 0.9 * len(true) and len(got & true) >= 0.9 * len(got)
