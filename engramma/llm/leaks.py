@@ -1,13 +1,17 @@
 """Problem 7: evaluation passages inside training text, by size-partitioned MinHash containment search.
 
-The shortest passage that counts is a run of twelve words, that is eight shingles of five words. Passages of the test
-items are partitioned by size: each is cut into all its windows of that size, a short one into one, a long one into as
-many as it has, and a window's sketch is the minimum hash of its shingles. A document that contains a window contains all
-its shingles, so the minimum of the same run in the document is equal: the search for equal minima misses none, however
-long the document is, and windows of the document's own size need no tuned bands. A candidate counts only after its words
-were compared.
-
-Sentences that several items share (instructions) are cut out of the items first; no window reaches over one.
+A test item's text and question are cut, at the sentences that several items share (instructions), into passages. Passages
+are partitioned by size: class k has those of 12*2^k words and more. A passage leaks if twelve of its consecutive words,
+that is eight consecutive shingles of five words, stand in a document, so a class has its own least containment: eight
+shingles of the most that a passage of the class can have. Against documents of any length this is searched by banded
+MinHash over passages' and documents' windows of that least size: one band of two minima a window. The same eight
+shingles have the same minima wherever they stand, so no leak is without a candidate, and since neighbouring windows
+mostly share their minima, a passage or document has far fewer distinct bands than words. A candidate (document, passage)
+is then verified by exact shingle containment: the share of the passage's shingles that the document has must reach that of
+its class, and eight of them must follow each other in both, word for word.
+
+Passages of a bounded size in bytes go to every worker with their bands; beyond it, bands are joined by shuffle (numbers
+only), and the texts of documents with candidates are fetched for verification.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ from engramma.session import stored
 
 RUN = 12
 SHINGLE = 5
+#: The shingles of a run.
+NEED = RUN - SHINGLE + 1
 #: A sentence of at least so many words that at least so many items share is an instruction.
 INSTRUCTION_WORDS, INSTRUCTION_ITEMS = 6, 3
-#: Up to so many item windows, the index goes to every worker; with more, sketches are joined by shuffle.
-INDEX_MAX = 1_000_000
+#: Passages up to so many bytes of words go to every worker; with more, bands are joined by shuffle.
+INDEX_BYTES = 8 << 20
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
+_WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -40,131 +47,166 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) | 1
 
 
-def _fold(h: np.ndarray, n: int) -> np.ndarray:
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """A hash of each ``n`` consecutive entries."""
-    out = np.zeros(h.size - n + 1, np.uint64)
+    out = np.zeros(max(0, h.size - n + 1), np.uint64)
     for k in range(n):
         out = (out ^ (h[k : h.size - n + 1 + k] + np.uint64(k))) * _ODD
         out ^= out >> np.uint64(29)
     return (out * _MIX) ^ (out >> np.uint64(32))
 
 
-def sketches(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(minimum, key) of every window of twelve word hashes: its smallest shingle hash, and a hash of all its words."""
-    shingle = _fold(h, SHINGLE)
-    least = np.lib.stride_tricks.sliding_window_view(shingle, RUN - SHINGLE + 1).min(1)
-    return least, _fold(h, RUN)
-
-
-def item_runs(text: str | None, instructions: frozenset[str]) -> Iterator[list[str]]:
-    """The runs of words of a passage between its instruction sentences, of twelve words at least."""
-    run: list[str] = []
-    for sentence in _SENTENCE.split(text or ""):
-        words = plain_words(sentence)
-        if " ".join(words) in instructions:
-            if len(run) >= RUN:
-                yield run
-            run = []
-        else:
-            run += words
-    if len(run) >= RUN:
-        yield run
+def bands(s: np.ndarray) -> np.ndarray:
+    """One band of two minima for each window of eight shingles: under the shingles' own order, and under a mixed one."""
+    mixed = (s ^ (s >> np.uint64(31))) * _MIX
+    least = [np.lib.stride_tricks.sliding_window_view(x, NEED).min(1) for x in (s, mixed)]
+    return (least[0] * _ODD ^ least[1]).view(np.int64)
 
 
-def instructions_of(items: DataFrame) -> frozenset[str]:
-    """The normal forms of the sentences that several items share."""
+def size_class(words: int) -> int:
+    return (words // RUN).bit_length() - 1
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, " ".join(w)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in _SENTENCE.split(t or "") if len(w := plain_words(s)) >= INSTRUCTION_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "sentence"])
 
-    sentences = items.select("item_id", "text").unionByName(items.select("item_id", F.col("question").alias("text"))).mapInArrow(cut, "item_id long, sentence string")
-    shared = sentences.groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= INSTRUCTION_ITEMS)
-    rows = shared.select("sentence").limit(INDEX_MAX + 1).collect()
-    if len(rows) > INDEX_MAX:
-        raise ValueError(f"more than {INDEX_MAX} shared sentences; split the evaluation set")
-    return frozenset(r["sentence"] for r in rows)
+def least_containment(k: int) -> float:
+    """What share of the shingles of a passage of class ``k`` a run of twelve words is at least."""
+    return NEED / (RUN * 2 ** (k + 1) - 1 - SHINGLE + 1)
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, size, least, key, words) of every window of the items; ``size`` is the class of the passage's length."""
-    instructions = instructions_of(items)
+def passages(items: DataFrame) -> DataFrame:
+    """(item_id, part, nr, size, words): the passages between instruction sentences, of twelve words at least; ``size`` is
+    the class. Sentences are counted and marked as rows, so neither items nor instructions are held in one place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, p, n, " ".join(plain_words(s))) for i, *texts in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for p, t in enumerate(texts) for n, s in enumerate(_SENTENCE.split(t or ""))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=["item_id", "part", "nr", "words"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for i, *passages in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                for passage in passages:
-                    for run in item_runs(passage, instructions):
-                        least, key = sketches(np.array([_word_hash(w) for w in run], np.uint64))
-                        size = int(np.log2(len(run) / RUN)) if len(run) > RUN else 0
-                        rows += [(i, size, int(m), int(k), " ".join(run[p : p + RUN])) for p, (m, k) in enumerate(zip(least.view(np.int64), key.view(np.int64), strict=True))]
+            for i, p, sentences in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                runs: list[list[str]] = [[]]
+                for s in sentences:
+                    if s["shared"]:
+                        runs.append([])
+                    else:
+                        runs[-1] += s["words"].split()
+                rows += [(i, p, n, size_class(len(r)), " ".join(r)) for n, r in enumerate(runs) if len(r) >= RUN]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item_id", "size", "least", "key", "words"])
-
-    return items.where("item_id is not null").select("item_id", "text", "question").mapInArrow(cut, "item_id long, size int, least long, key long, words string")
-
-
-def leaks(documents: DataFrame, items: DataFrame, index_max: int = INDEX_MAX) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=["item_id", "part", "nr", "size", "words"])
+
+    sentences = items.where("item_id is not null").select("item_id", "text", "question").distinct().mapInArrow(cut, "item_id long, part int, nr int, words string").where("words <> ''")
+    told = sentences.where(F.size(F.split("words", " ")) >= INSTRUCTION_WORDS).groupBy("words").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= INSTRUCTION_ITEMS).select("words", F.lit(True).alias("shared"))
+    marked = sentences.join(told, "words", "left").groupBy("item_id", "part").agg(F.array_sort(F.collect_list(F.struct("nr", F.coalesce("shared", F.lit(False)).alias("shared"), "words"))).alias("s"))
+    return marked.select("item_id", "part", "s").mapInArrow(join, "item_id long, part int, nr int, size int, words string")
+
+
+class Index:
+    """Passages of all size classes with the posting lists of their bands."""
+
+    def __init__(self, rows: list[tuple[int, int, str]]) -> None:
+        self.item, self.least, self.words, self.hashes = [], [], [], []
+        self.posting: dict[int, list[tuple[int, int]]] = {}  # band: (passage, position)
+        known: dict[str, int] = {}
+        for item, size, text in rows:
+            words = text.split(" ")
+            n = len(self.item)
+            for w in words:
+                if w not in known:
+                    known[w] = _word_hash(w)
+            s = shingles(np.array([known[w] for w in words], np.uint64))
+            self.item.append(item)
+            self.least.append(least_containment(size))
+            self.words.append(words)
+            self.hashes.append(s)
+            for at, band in enumerate(bands(s).tolist()):
+                self.posting.setdefault(band, []).append((n, at))
+        self.known = known
+        self.all_bands = np.array(sorted(self.posting), np.int64)
+
+    def verified(self, words: list[str], s: np.ndarray, found: list[tuple[int, int, int]]) -> set[int]:
+        """The items of candidates (passage, position there, position in the document) that stand the exact check."""
+        out: set[int] = set()
+        share: dict[int, bool] = {}
+        for n, q, p in found:
+            if self.item[n] in out:
+                continue
+            if n not in share:
+                share[n] = bool(np.isin(self.hashes[n], s).mean() >= self.least[n])
+            if share[n] and self.words[n][q : q + RUN] == words[p : p + RUN]:
+                out.add(self.item[n])
+        return out
+
+    def search(self, text: str) -> set[int]:
+        """The items of which a text has twelve consecutive words of a passage."""
+        words = _WORD.findall(plain_text(text))
+        if len(words) < RUN or not self.all_bands.size:
+            return set()
+        get = self.known.get
+        h = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        # a window with a word that no passage has can match nothing
+        foreign = np.concatenate([[0], np.cumsum(h == 0)])
+        free = foreign[RUN:] == foreign[:-RUN]
+        if not free.any():
+            return set()
+        s = shingles(h)
+        b = bands(s)
+        at = np.flatnonzero(free)
+        at = at[np.isin(b[at], self.all_bands)]
+        return self.verified(words, s, [(n, q, p) for p in at.tolist() for n, q in self.posting[int(b[p])]])
+
+
+_PAIR = "doc_id long, item_id long"
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc_id", "item_id"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id), distinct: the documents with at least twelve consecutive words of an item's text or question.
 
     Null, empty and short texts match nothing; rows with a null id are left out; repeated rows change nothing; if either
     table is empty, so is the result.
     """
-    index = stored(item_windows(items).distinct(), "leak-index")
+    known = stored(passages(items).distinct(), "leak-passages")
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    if index.count() <= index_max:
-        return _by_index(docs, index).distinct()
-    found = docs.mapInArrow(_document_sketches, "doc_id long, least long, key long, words string")
-    return found.join(index, ["least", "key", "words"]).select("doc_id", "item_id").distinct()
-
-
-def _document_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of every document, for an index too large to hold."""
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = plain_words(text)
-            if len(words) < RUN:
-                continue
-            least, key = sketches(np.array([_word_hash(w) for w in words], np.uint64))
-            run = [" ".join(words[p : p + RUN]) for p in range(len(least))]
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(run), pa.int64()), pa.array(least.view(np.int64)), pa.array(key.view(np.int64)), pa.array(run, pa.string())], names=["doc_id", "least", "key", "words"])
+    size = known.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+    return (_by_index(docs, known) if size <= index_bytes else _by_shuffle(docs, known)).distinct()
 
 
-_WORD = re.compile(r"[^\W_]+")
+def _by_index(docs: DataFrame, known: DataFrame) -> DataFrame:
+    rows = [tuple(r) for r in known.select("item_id", "size", "words").collect()]  # of a size that was measured
+    shared = docs.sparkSession.sparkContext.broadcast(Index(rows))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for b in batches:
+            yield _pairs([(doc, i) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in index.search(text)])
 
+    return docs.mapInArrow(search, _PAIR)
 
-def _by_index(docs: DataFrame, index: DataFrame) -> DataFrame:
-    rows = index.select("item_id", "least", "words").collect()  # counted before
-    owners: dict[str, list[int]] = {}
-    for r in rows:
-        owners.setdefault(r["words"], []).append(r["item_id"])
-    minima = np.unique(np.array([r["least"] for r in rows], np.int64))
-    known = {w: _word_hash(w) for words in owners for w in words.split(" ")}
-    shared = docs.sparkSession.sparkContext.broadcast((owners, minima, known))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, minima, known = shared.value
-        get = known.get
+def _by_shuffle(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Bands of passages and documents are joined within nothing but their value; candidates fetch the texts of both."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = _WORD.findall(plain_text(text))
-                if len(words) < RUN:
-                    continue
-                h = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-                # a window with a word that no item has can match nothing
-                foreign = np.concatenate([[0], np.cumsum(h == 0)])
-                free = foreign[RUN:] == foreign[:-RUN]
-                if not free.any():
-                    continue
-                least, _ = sketches(h)
-                hits = set()
-                for p in np.flatnonzero(free & np.isin(least.view(np.int64), minima)):
-                    hits.update(owners.get(" ".join(words[p : p + RUN]), ()))
-                out += [(doc, i) for i in hits]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc_id", "item_id"])
-
-    return docs.mapInArrow(search, "doc_id long, item_id long")
+                if len(words) >= RUN:
+                    own = np.unique(bands(shingles(np.array([_word_hash(w) for w in words], np.uint64))))
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * own.size, pa.int64()), pa.array(own)], names=["key", "band"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in range(5)]
+            yield _pairs([(doc, item) for doc, text, item, size, words in zip(*cols, strict=True) if Index([(item, size, words)]).search(text)])
+
+    numbered = known.withColumn("key", F.xxhash64("item_id", "part", "nr"))
+    mine = numbered.select("key", "words").mapInArrow(sketch, "key long, band long").withColumnRenamed("key", "passage")
+    theirs = docs.mapInArrow(sketch, "key long, band long").withColumnRenamed("key", "doc_id")
+    candidates = theirs.join(mine, "band").select("doc_id", "passage").distinct()
+    whole = candidates.join(numbered.select(F.col("key").alias("passage"), "item_id", "size", "words"), "passage").join(docs, "doc_id")
+    return whole.select("doc_id", "text", "item_id", "size", "words").mapInArrow(verify, _PAIR)
