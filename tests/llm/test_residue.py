@@ -1,6 +1,6 @@
 """Problem 8."""
 
-from engramma.llm.residue import excluded
+from engramma.llm.residue import Index, excluded, terms, windows
 
 BODY = "I sold the kettle because it reminded me of home. We agreed on 12 euros for the spare key. The session at Hardora Harbour ran 21 minutes late. "
 BAD = [
@@ -25,3 +25,39 @@ def test_cases(spark):
 
 def test_empty(spark):
     assert excluded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# written apart from the exemplars and from the tables
+HELD_OUT = [
+    "Bad request. The server was moved.", "Das Dokument konnte nicht geladen werden.", "La sesión no pudo cargarse.", "HTTP 500: Internal Server Error", "404 Not Found", "Error 403: Forbidden.",
+    "The document could not be opened. Please try again later.", "This file is no longer available.", "You are not authorized to open this document.", "Your session has expired. Please log in again.",
+    "Service Unavailable. The site is down for maintenance.", "The conversation failed to load. Reload the page in a moment.", "Le fichier n'a pas pu être chargé.", "Accès refusé.", "Archivo no disponible.",
+    "JavaScript is disabled. Please enable JavaScript to open the document.", "Your browser does not support JavaScript. Turn on JavaScript in your settings.", "This site needs cookies and scripts.", "Bitte aktivieren Sie JavaScript, um das Dokument anzuzeigen.",
+    "Veuillez activer JavaScript pour lire ce document.", "Lorem ipsum dolor sit amet, sed do eiusmod tempor.", "Placeholder text. Insert your text here.", "Sample text goes here.", "Texto de ejemplo. Texto de relleno.", "Faux texte, à remplacer.",
+    "Dear {{customer.name}}, thanks for visiting.", "Total: ${order_total} due today", "Hello [Your name], welcome back.", "Meet us at <<venue>> tomorrow.", "Status: %(state)s",
+]
+CONTENT = [
+    "The server brought the soup and we moved to a quieter table.", "I could not open the jar, so my neighbour helped.", "We asked for the file and the clerk found it at once.", "My access to the garden ends in May, sadly.",
+    "The browser of the archive showed us old maps of the harbour.", "She enabled the alarm and left for work.", "He wrote lorem on the board to explain Latin forms.", "The page boy carried our bags upstairs.", "I requested a window seat and got one.", "Our session ran late, and we loaded the van in the dark.",
+]
+
+
+def test_residue_that_no_exemplar_repeats(spark):
+    rows = [(i, t) for i, t in enumerate(HELD_OUT)] + [(100 + i, t) for i, t in enumerate(CONTENT)] + [(1000 + i, BODY + f"Nothing of note happened on day {i}, though the page was loaded with {i} pictures of the session.") for i in range(200)]
+    got = {r["doc_id"] for r in excluded(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([i for i in got if i < 100]) >= 0.9 * len(HELD_OUT) and not [i for i in got if i >= 100]
+
+
+def test_windows_come_from_the_index():
+    index = Index({}, 100)
+    text = "Please enable JavaScript to view this page."
+    assert [w[1] for w in windows(text, index)] == ["script", "text"]
+    index.posting = {t: [] for t in index.posting}
+    assert windows(text, index) == []
+
+
+def test_containment_is_measured_against_retrieved_exemplars():
+    index = Index({"the": 90, "to": 80, "in": 80}, 100)
+    assert index.best(terms("Please enable JavaScript to view this page.")) is not None
+    # words of many exemplars, in no two of them together
+    assert index.best(terms("lorem gateway javascript denied expired placeholder cookies")) is None
