@@ -1,20 +1,27 @@
 """Problem 4: parent-child links become full hierarchies, by peeling leaves.
 
-Each round takes the nodes whose children are all done, and sends their descendant lists, as rows, to their parents; a
-node's list is complete when it becomes a leaf. What cannot be peeled has a circle below it: there the closure is made
-by doubling. In reverse, roots send paths and depths down. Lists are rows and never one array, so that a hierarchy that
-holds most of the table is spread over all tasks. The number of rounds is the height of the hierarchy.
+Bottom up, each round peels the links to nodes that have no open child; the round is the node's height. Then, height by
+height, descendant lists, as rows, go to the parents: a list is made once, when all lists below it are whole, and read once
+for each height that has parents of its nodes; its length is the size of the subtree. In reverse peel order, from the
+highest nodes down, paths and depths go to the children. What peeling leaves has a circle below it or is very deep: there
+the closure is made by doubling, in as many rounds as the logarithm of the depth. Nodes are numbers meanwhile, so that
+little is shuffled, and lists are rows and never one array, so that a hierarchy that holds most of the table is spread over
+all tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramma.functions.symbols import norm_code
-from engramma.session import cut
+from engramma.session import stored
+
+#: Peeling stops after so many heights; what is deeper is closed by doubling.
+HEIGHTS = 64
 
 
 def links(topic: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,57 +37,97 @@ def links(topic: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, wanted.join(keyed, ["g", "key"]).select("g", "parent", "child").distinct()
 
 
-def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(closure, levels, rest) of distinct edges (g, parent, child).
+@dataclass
+class Graph:
+    """Numbered nodes and links in peel order."""
 
-    closure: (g, ancestor, node), distinct, with every node reached by one or more links. levels: (g, parent, child,
-    height) of the peeled links, where height is that of the child. rest: the links that could not be peeled.
-    """
-    spark = edges.sparkSession
-    state = cut(_marked(edges))
-    # what is known of nodes that are not peeled yet; every round has plans of the same shape
-    pending = spark.createDataFrame([], "g string, ancestor string, node string")
-    closure, levels = [pending], [spark.createDataFrame([], "g string, parent string, child string, height int")]
-    height = 0
-    while True:
-        ripe = state.where("ripe").select("g", "parent", "child")
+    names: DataFrame  # n, g, node
+    links: DataFrame  # p, c, hp, hc: heights of both ends, null where not peeled
+    pairs: list[tuple[int, int]]  # the (hp, hc) that occur
+
+    @property
+    def top(self) -> int:
+        return max((hp for hp, _ in self.pairs), default=0)
+
+
+def numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, links): (n, g, node), and the edges as (p, c)."""
+    names = stored(nodes.select(F.monotonically_increasing_id().alias("n"), "g", "node"), "nodes")
+    p, c = names.select(F.col("n").alias("p"), "g", F.col("node").alias("parent")), names.select(F.col("n").alias("c"), "g", F.col("node").alias("child"))
+    return names, stored(edges.join(p, ["g", "parent"]).join(c, ["g", "child"]).select("p", "c"), "links")
+
+
+def peeled(names: DataFrame, pairs: DataFrame, heights: int | None = 0) -> Graph:
+    """Peel distinct links (p, c), leaves first, for ``heights`` rounds (0: HEIGHTS, None: as far as it goes)."""
+    heights = HEIGHTS if heights == 0 else heights
+    rounds: list[DataFrame] = []
+    rest = pairs
+    while heights is None or len(rounds) < heights:
+        inner = rest.select(F.col("p").alias("c")).distinct().withColumn("inner", F.lit(True))
+        state = stored(rest.join(inner, "c", "left").select("p", "c", F.col("inner").isNull().alias("ripe")), "peel")
+        ripe = state.where("ripe").select("p", "c")
         if ripe.isEmpty():
+            rest = state.select("p", "c")
             break
-        sent = pending.withColumnRenamed("ancestor", "child").join(ripe, ["g", "child"]).select("g", F.col("parent").alias("ancestor"), "node")
-        new = cut(ripe.select("g", F.col("parent").alias("ancestor"), F.col("child").alias("node")).unionByName(sent).distinct())
-        peeled = ripe.select("g", F.col("child").alias("ancestor")).distinct()
-        pending = cut(pending.join(peeled, ["g", "ancestor"], "left_anti").unionByName(new))
-        closure.append(new)
-        levels.append(ripe.withColumn("height", F.lit(height)))
-        state = cut(_marked(state.where("not ripe").select("g", "parent", "child")))
-        height += 1
-    done, level = reduce(DataFrame.unionByName, closure), reduce(DataFrame.unionByName, levels)
-    rest = state.select("g", "parent", "child")
-    return done.unionByName(_circular(rest, done)).distinct(), level, rest
-
-
-def _marked(edges: DataFrame) -> DataFrame:
-    """Links with ``ripe``: whether the child has no open link downwards."""
-    inner = edges.select("g", F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-    return edges.join(inner, ["g", "child"], "left").select("g", "parent", "child", F.col("inner").isNull().alias("ripe"))
-
-
-def _circular(rest: DataFrame, done: DataFrame) -> DataFrame:
-    """The closure of nodes that have a circle below them: reach among themselves, and then into what was peeled."""
-    if rest.isEmpty():
-        return done.limit(0)
-    reach = cut(rest.select("g", F.col("parent").alias("ancestor"), F.col("child").alias("node")))
+        rounds.append(ripe.withColumn("hc", F.lit(len(rounds))))
+        rest = state.where("not ripe").select("p", "c")
+    marked = reduce(DataFrame.unionByName, [*rounds, rest.withColumn("hc", F.lit(None).cast("int"))])
+    # a parent is one higher than its highest child, if all its links were peeled
+    high = marked.groupBy("p").agg(F.when(F.count("*") == F.count("hc"), F.max("hc") + 1).alias("hp"))
+    whole = stored(marked.join(high, "p").select("p", "c", "hp", "hc"), "heights")
+    found = whole.where("hp is not null").select("hp", "hc").distinct().limit(10**6).collect() if heights else [(h + 1, k) for h in range(len(rounds)) for k in range(h + 1)]
+    return Graph(names, whole, sorted((r[0], r[1]) for r in found))
+
+
+def closure_of(graph: Graph) -> DataFrame:
+    """(a, d), distinct: every node with every one reached from it by one or more links."""
+    lists: dict[int, DataFrame] = {}
+    own = lambda h: graph.links.where(F.col("hp") == h).select(F.col("p").alias("a"), F.col("c").alias("d"))
+
+    def handed(to: DataFrame, below: list[DataFrame]) -> DataFrame:
+        """Links (a, d) and what the lists of their lower ends hold."""
+        if not below:
+            return to
+        known = reduce(DataFrame.unionByName, below).select(F.col("a").alias("d"), F.col("d").alias("deep"))
+        return to.unionByName(to.join(known, "d").select("a", F.col("deep").alias("d")))
+
+    for h in range(1, graph.top + 1):
+        lists[h] = stored(handed(own(h), [lists[k] for hp, k in graph.pairs if hp == h and k]).distinct(), "descendants")
+    parts = list(lists.values())
+    rest = graph.links.where("hp is null")
+    if not rest.isEmpty():
+        parts.append(_deep(rest, parts, handed))
+    return reduce(DataFrame.unionByName, parts) if parts else graph.links.select(F.col("p").alias("a"), F.col("c").alias("d"))
+
+
+def _deep(rest: DataFrame, lists: list[DataFrame], handed) -> DataFrame:
+    """The closure of nodes that were not peeled: reach among themselves by doubling, then what is peeled below them."""
+    open_ends = rest.select("p").distinct()
+    among = rest.join(open_ends.withColumnRenamed("p", "c"), "c", "left_semi").select(F.col("p").alias("a"), F.col("c").alias("d"))
+    reach = stored(among.distinct(), "reach")
     size = reach.count()
-    while True:
-        onward = reach.select("g", F.col("ancestor").alias("node"), F.col("node").alias("next"))
-        reach = cut(reach.unionByName(reach.join(onward, ["g", "node"]).select("g", "ancestor", F.col("next").alias("node"))).distinct())
+    while size:
+        onward = reach.select(F.col("a").alias("d"), F.col("d").alias("next"))
+        reach = stored(reach.unionByName(reach.join(onward, "d").select("a", F.col("next").alias("d"))).distinct(), "reach")
         grown = reach.count()
         if grown == size:
             break
         size = grown
-    below = done.join(rest.select("g", F.col("parent").alias("ancestor")).distinct(), ["g", "ancestor"], "left_semi")
-    deep = reach.select("g", F.col("ancestor").alias("top"), F.col("node").alias("ancestor")).join(below, ["g", "ancestor"])
-    return reach.unionByName(deep.select("g", F.col("top").alias("ancestor"), "node"))
+    below = stored(handed(rest.join(open_ends.withColumnRenamed("p", "c"), "c", "left_anti").select(F.col("p").alias("a"), F.col("c").alias("d")), lists).distinct(), "below")
+    far = reach.join(below.select(F.col("a").alias("d"), F.col("d").alias("deep")), "d").select("a", F.col("deep").alias("d"))
+    return reach.unionByName(below.unionByName(far).distinct())
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(g, ancestor, node), distinct, of distinct edges (g, parent, child): every node that is reached by one or more links."""
+    nodes = edges.select("g", F.col("parent").alias("node")).union(edges.select("g", F.col("child").alias("node"))).distinct()
+    names, pairs = numbered(nodes, edges)
+    return _named(names, closure_of(peeled(names, pairs)))
+
+
+def _named(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    a, d = names.select(F.col("n").alias("a"), "g", F.col("node").alias("ancestor")), names.select(F.col("n").alias("d"), "node")
+    return pairs.join(a, "a").join(d, "d").select("g", "ancestor", "node")
 
 
 def descendants(topic: DataFrame) -> DataFrame:
@@ -89,32 +136,42 @@ def descendants(topic: DataFrame) -> DataFrame:
     A code on a circle is its own ancestor. An empty table gives an empty result; repeated rows change nothing; extra
     columns are ignored.
     """
-    _, edges = links(topic)
-    closure, _, _ = peel(edges)
-    return closure.select(F.col("g").alias("codebook_id"), "ancestor", F.col("node").alias("code"))
+    names, pairs = numbered(*links(topic))
+    return _named(names, closure_of(peeled(names, pairs))).select(F.col("g").alias("codebook_id"), "ancestor", F.col("node").alias("code"))
 
 
 def hierarchy(topic: DataFrame) -> DataFrame:
     """(codebook_id, code, root, path, depth, on_circle, n_descendants): a row for each path from a root to a node.
 
     A path is the ``/``-joined codes from its root; depth counts its links. A node on a circle starts a path of its own
-    (it is that path's root and is marked on_circle), since a path through a circle has no end; paths do not enter it.
+    (it is that path's root and is marked on_circle), since a path through a circle has no end; paths do not enter it. A
+    node with several parents has a row for each way to it, so there are as many rows as the links have ways.
     """
-    nodes, edges = links(topic)
-    closure, _, _ = peel(edges)
-    closure = cut(closure)
-    circle = closure.where("ancestor = node").select("g", "node").withColumn("on_circle", F.lit(True))
-    sizes = closure.groupBy("g", F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
-    free = edges.join(circle.select("g", F.col("node").alias("child")), ["g", "child"], "left_anti")
-    tops = nodes.join(free.select("g", F.col("child").alias("node")).distinct(), ["g", "node"], "left_anti")
-    now = cut(tops.select("g", "node", F.col("node").alias("root"), F.col("node").alias("path"), F.lit(0).alias("depth")))
-    every = [now]
-    free = cut(free)
-    while not now.isEmpty():
-        step = now.withColumnRenamed("node", "parent").join(free, ["g", "parent"])
-        now = cut(step.select("g", F.col("child").alias("node"), "root", F.concat_ws("/", "path", "child").alias("path"), (F.col("depth") + 1).alias("depth")))
-        every.append(now)
-    out = reduce(DataFrame.unionByName, every).join(circle, ["g", "node"], "left").join(sizes, ["g", "node"], "left")
+    names, pairs = numbered(*links(topic))
+    graph = peeled(names, pairs)
+    below = stored(closure_of(graph), "closure")
+    circle = stored(below.where("a = d").select(F.col("a").alias("n")), "circles")
+    sizes = below.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("n_descendants"))
+    if not graph.links.where("hp is null").isEmpty():
+        # without the links into circles everything can be peeled
+        graph = peeled(names, pairs.join(circle.withColumnRenamed("n", "c"), "c", "left_anti"), None)
+    ends = graph.links.select(F.col("c").alias("n")).distinct()
+    named = names.select("n", "node")
+    row = "n", "root", "path", "depth"
+    tops = names.join(ends, "n", "left_anti").select("n", F.col("node").alias("root"), F.col("node").alias("path"), F.lit(0).alias("depth"))
+    height = graph.links.select(F.col("p").alias("n"), F.col("hp").alias("h")).distinct()
+    # the paths of roots by their height, then of each lower height from those above
+    start = stored(tops.join(height, "n", "left").select(*row, F.coalesce("h", F.lit(0)).alias("h")), "roots")
+    made: dict[int, DataFrame] = {}
+    for h in range(graph.top, -1, -1):
+        above = [made[hp].withColumn("hp", F.lit(hp)) for hp, hc in graph.pairs if hc == h and hp in made]
+        here = start.where(F.col("h") == h).select(*row)
+        if above:
+            come = graph.links.where(F.col("hc") == h).select(F.col("p").alias("n"), F.col("c")).join(reduce(DataFrame.unionByName, above).drop("hp"), "n")
+            come = come.select(F.col("c").alias("n"), "root", "path", "depth").join(named, "n")
+            here = here.unionByName(come.select("n", "root", F.concat_ws("/", "path", "node").alias("path"), (F.col("depth") + 1).alias("depth")))
+        made[h] = stored(here, "paths")
+    out = reduce(DataFrame.unionByName, made.values()).join(names, "n").join(circle.withColumn("on_circle", F.lit(True)), "n", "left").join(sizes, "n", "left")
     return out.select(
         F.col("g").alias("codebook_id"), F.col("node").alias("code"), "root", "path", "depth",
         F.coalesce("on_circle", F.lit(False)).alias("on_circle"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),

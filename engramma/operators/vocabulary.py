@@ -108,14 +108,14 @@ def entity_merge_candidates(c: Catalog, min_len: int = 2) -> DataFrame:
 
 
 def taxonomy_problems(c: Catalog) -> DataFrame:
-    """(g, problem, code, other): missing parents, candidates without parent, and links that lie on or above a circle."""
-    from engramma.operators.hierarchy import peel
+    """(g, problem, code, other): missing parents, candidates without parent, and topics on a circle."""
+    from engramma.operators.hierarchy import closure as reached
 
     known = c.topic.select("g", F.col("code").alias("parent"))
     missing = c.edge.join(known, ["g", "parent"], "left_anti").select("g", F.lit("missing parent").alias("problem"), F.col("child").alias("code"), F.col("parent").alias("other"))
     childless = c.edge.select("g", F.col("child").alias("code")).distinct()
     orphan = c.topic.where("status = 'candidate'").join(childless, ["g", "code"], "left_anti").select("g", F.lit("orphan candidate").alias("problem"), "code", F.lit("").alias("other"))
-    done, _, _ = peel(c.edge.join(known, ["g", "parent"]).select("g", "parent", "child"))
+    done = reached(c.edge.join(known, ["g", "parent"]).select("g", "parent", "child"))
     circle = done.where("ancestor = node").select("g", F.lit("on a circle").alias("problem"), F.col("node").alias("code"), F.lit("").alias("other"))
     return missing.unionByName(orphan).unionByName(circle)
 
@@ -186,15 +186,14 @@ def register_entities(c: Catalog, surfaces: DataFrame) -> DataFrame:
 
 def move_topic(c: Catalog, moves: DataFrame) -> DataFrame:
     """The links after (g, code, parents) got new parents. Raises ValueError where a parent is unknown or a circle would close."""
-    from engramma.operators.hierarchy import peel
+    from engramma.operators.hierarchy import closure as reached
 
     new = moves.select("g", F.col("code").alias("child"), F.explode("parents").alias("parent")).distinct()
     unknown = new.join(c.topic.select("g", F.col("code").alias("parent")), ["g", "parent"], "left_anti").limit(3).collect()
     if unknown:
         raise ValueError(f"unknown parents: {[r['parent'] for r in unknown]}")
     edges = c.edge.join(moves.select("g", F.col("code").alias("child")), ["g", "child"], "left_anti").select("g", "parent", "child").unionByName(new.select("g", "parent", "child"))
-    closed, _, _ = peel(edges)
-    moved = closed.where("ancestor = node").join(moves.select("g", F.col("code").alias("node")), ["g", "node"], "left_semi").limit(3).collect()
+    moved = reached(edges).where("ancestor = node").join(moves.select("g", F.col("code").alias("node")), ["g", "node"], "left_semi").limit(3).collect()
     if moved:
         raise ValueError(f"a circle would close at {[r['node'] for r in moved]}")
     return edges

@@ -2,7 +2,10 @@
 
 import random
 
-from engramma.operators.hierarchy import descendants, hierarchy
+import pytest
+
+from engramma.operators import hierarchy as module
+from engramma.operators.hierarchy import descendants, hierarchy, links, numbered, peeled
 
 SCHEMA = "codebook_id string, code string, parents array<string>, status string, extra int"
 
@@ -24,7 +27,9 @@ def brute(rows):
     return out
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("heights", [64, 1])
+def test_random_graphs(spark, monkeypatch, heights):
+    monkeypatch.setattr(module, "HEIGHTS", heights)  # what is deeper is closed by doubling
     rng = random.Random(7)
     rows = []
     for g in range(12):
@@ -51,3 +56,17 @@ def test_paths(spark):
     rows = [("g", "a", [], None, 1), ("g", "b", ["a"], None, 1), ("g", "d", ["b", "a"], None, 1), ("g", "x", ["y"], None, 1), ("g", "y", ["x"], None, 1), ("g", "z", ["y"], None, 1)]
     got = {(r["code"], r["root"], r["path"], r["depth"], r["on_circle"], r["n_descendants"]) for r in hierarchy(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {("a", "a", "a", 0, False, 2), ("b", "a", "a/b", 1, False, 1), ("d", "a", "a/b/d", 2, False, 0), ("d", "a", "a/d", 1, False, 0), ("x", "x", "x", 0, True, 3), ("y", "y", "y", 0, True, 3), ("z", "y", "y/z", 1, False, 0)}
+
+
+def test_a_long_chain_is_peeled_in_part(spark):
+    rows = [("g", f"n{i}", [f"n{i - 1}"] if i else [], None, 1) for i in range(100)]
+    topic = spark.createDataFrame(rows, SCHEMA)
+    graph = peeled(*numbered(*links(topic)), heights=3)
+    assert graph.top == 3 and graph.links.where("hp is null").count() == 96
+    assert descendants(topic).count() == 99 * 100 // 2
+
+
+def test_order_of_peeling(spark):
+    rows = [("g", "a", [], None, 1), ("g", "b", ["a"], None, 1), ("g", "c", ["b", "a"], None, 1), ("g", "d", ["a"], None, 1)]
+    graph = peeled(*numbered(*links(spark.createDataFrame(rows, SCHEMA))))
+    assert graph.pairs == [(1, 0), (2, 0), (2, 1)]
