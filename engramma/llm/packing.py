@@ -1,10 +1,12 @@
 """Problem 6: documents are packed into containers of a fixed capacity, by vector best-fit.
 
-A container has three capacities: tokens, documents and attention cost (the sum of squared lengths). Items go largest
+A container has three capacities: tokens, documents (one for each :data:`TOKENS_A_DOCUMENT` of its tokens) and attention cost
+(the sum of squared lengths, :data:`ATTENTION_SHARE` of what one document of its whole size would cost). Items go largest
 first into the container, of those that can take them under every constraint, whose residual vector is left with the least
-weighted norm; if none can, a new one is opened. Packing runs in blocks of a fixed number of items that hashing spreads
-evenly, so that no source or length can make a block large, and its cost grows with the input. Containers that a block
-leaves underfilled are dissolved, and their items packed again in a second round of blocks.
+weighted norm; if none can, a new one is opened. An item that alone is beyond the attention capacity stays alone. Packing
+runs in blocks of a fixed number of items that hashing spreads evenly, so that no source or length can make a block large,
+and its cost grows with the input. Containers that a block leaves underfilled are dissolved, and their items packed again in
+a second round of blocks.
 
 A text is divided only if it is larger than the capacity: into full containers, which nothing else fits in, and a rest.
 """
@@ -15,6 +17,7 @@ import base64
 import functools
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,13 +31,14 @@ from engramma.session import stored
 BLOCK = 16_384
 #: Containers below this fill are dissolved for the second round.
 GOOD_FILL = 0.98
-#: Most documents of a container, and most attention cost as a share of the squared capacity.
-MAX_DOCUMENTS = 512
-ATTENTION_SHARE = 1.0
+#: A container has room for one document for each so many tokens of its capacity, and for eight at least.
+TOKENS_A_DOCUMENT = 32
+#: Most attention cost of a container as a share of the squared capacity.
+ATTENTION_SHARE = 0.9
 #: Weights of the residual tokens, documents and attention cost in the norm.
 WEIGHTS = (1.0, 0.02, 0.05)
-#: Most rows of a pack_spec table.
-SPECS_MAX = 1000
+#: So many packs are made at a time.
+SPECS = 100
 
 # Fixed value: the word pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,9 +71,14 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
     return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(count, "doc_id long, tokens int").distinct()
 
 
-def best_fit(sizes: np.ndarray, capacity: int, max_documents: int = MAX_DOCUMENTS, attention_share: float = ATTENTION_SHARE, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+def max_documents_of(capacity: int) -> int:
+    return max(8, capacity // TOKENS_A_DOCUMENT)
+
+
+def best_fit(sizes: np.ndarray, capacity: int, max_documents: int | None = None, attention_share: float = ATTENTION_SHARE, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """The container of each item, numbered from 0. No size may be above the capacity."""
     order = np.argsort(-sizes, kind="stable")
+    max_documents = max_documents or max_documents_of(capacity)
     cost_cap = max(1.0, attention_share * float(capacity) ** 2)
     out = np.full(sizes.size, -1, np.int64)
     tokens = np.empty(256, np.float64)  # residual capacities of the open containers
@@ -133,14 +142,20 @@ def packed(documents: DataFrame, specs: DataFrame, tokenizer: str | None = None,
     Every document is in every pack of ``specs`` (pack_id, capacity_tokens), whole in one container if it fits in one.
     Specs with a null or no positive capacity are left out; empty tables give an empty result.
     """
-    rows = specs.select("pack_id", "capacity_tokens").where("pack_id is not null and capacity_tokens > 0").distinct().limit(SPECS_MAX + 1).collect()
-    if len(rows) > SPECS_MAX:
-        raise ValueError(f"more than {SPECS_MAX} packs")
     spark = documents.sparkSession
     final = "pack_id int, container string, doc_id long, part int, start_token int, tokens int, filled int, capacity int"
-    if not rows:
+    rows = specs.select("pack_id", "capacity_tokens").where("pack_id is not null and capacity_tokens > 0").distinct().orderBy("pack_id", "capacity_tokens").toLocalIterator()
+    first = list(islice(rows, SPECS))
+    if not first:
         return spark.createDataFrame([], final)
     counts = stored(token_counts(documents, tokenizer), "tokens")
+    out = _packs(counts, first, block)
+    while more := list(islice(rows, SPECS)):
+        out = out.unionByName(_packs(counts, more, block))
+    return out
+
+
+def _packs(counts: DataFrame, rows: list, block: int) -> DataFrame:
     packs = F.array(*[F.struct(F.lit(r["pack_id"]).cast("int").alias("pack_id"), F.lit(r["capacity_tokens"]).cast("int").alias("capacity")) for r in sorted(rows)])
     each = counts.select("doc_id", F.col("tokens").alias("all_tokens"), F.explode(packs).alias("p")).select("doc_id", "all_tokens", "p.*")
     parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("all_tokens") / F.col("capacity")).cast("int") - 1))

@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from engramma.llm.packing import best_fit, default_tokenizer, encoding, packed
+from engramma.llm import packing
+from engramma.llm.packing import best_fit, default_tokenizer, encoding, max_documents_of, packed
 
 
 @settings(max_examples=150, deadline=None)
@@ -62,3 +63,23 @@ def test_the_second_round_keeps_everything(spark):
 def test_a_missing_tokenizer_is_an_error(spark):
     with pytest.raises(Exception, match="nowhere"):
         packed(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, 9)], "pack_id int, capacity_tokens int"), tokenizer="/nowhere/file").count()
+
+
+def together(sizes, capacity):
+    return len(set(best_fit(np.array(sizes), capacity).tolist())) == 1
+
+
+def test_each_capacity_refuses_alone():
+    # with the limits of production: tokens, documents and attention cost in turn, the other two at ease
+    assert together([300, 212], 512) and not together([300, 213], 512)
+    most = max_documents_of(512)
+    assert together([4] * most, 512) and not together([4] * (most + 1), 512)
+    assert together([480, 20], 512) and not together([490, 20], 512)  # 490 tokens cost more than nine tenths of 512 squared
+
+
+def test_more_packs_than_are_made_at_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPECS", 2)
+    docs = spark.createDataFrame([(i, "w " * i) for i in range(9)], "doc_id long, text string")
+    specs = spark.createDataFrame([(p, 8 + p) for p in range(5)], "pack_id int, capacity_tokens int")
+    rows = packed(docs, specs).collect()
+    assert {(r["pack_id"], r["doc_id"]) for r in rows} == {(p, i) for p in range(5) for i in range(9)}
