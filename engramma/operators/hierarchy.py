@@ -14,27 +14,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from engramma.functions.symbols import norm_code
 from engramma.session import stored
 
 #: Peeling stops after so many heights; what is deeper is closed by doubling.
-HEIGHTS = 64
+HEIGHTS = 8
 
 
 def links(topic: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a topic table: nodes (g, node) and edges (g, parent, child), both distinct.
+    """(names, links) of a topic table: (n, g, node) numbers its nodes, (p, c) are its links, distinct.
 
     Rows of one code add up whatever their status. Parents are matched in normal form; null, blank and undeclared ones
     are left out. Rows with a null group or code are left out, too.
     """
     rows = topic.select(F.col("codebook_id").alias("g"), F.col("code").alias("node"), "parents").where("g is not null and node is not null")
-    nodes = rows.select("g", "node").distinct()
-    keyed = nodes.select("g", F.col("node").alias("parent"), norm_code("node").alias("key"))
-    wanted = rows.select("g", F.col("node").alias("child"), F.explode("parents").alias("p")).select("g", "child", norm_code("p").alias("key")).where("key <> ''").distinct()
-    return nodes, wanted.join(keyed, ["g", "key"]).select("g", "parent", "child").distinct()
+    names = stored(rows.select("g", "node").distinct().select(F.monotonically_increasing_id().alias("n"), "g", "node", norm_code("node").alias("key")), "nodes")
+    wanted = rows.select("g", "node", F.explode("parents").alias("p")).select("g", "node", norm_code("p").alias("key")).where("key <> ''").distinct()
+    ends = wanted.join(names.select(F.col("n").alias("p"), "g", "key"), ["g", "key"]).join(names.select(F.col("n").alias("c"), "g", "node"), ["g", "node"])
+    return names.drop("key"), stored(ends.select("p", "c").distinct(), "links")
 
 
 @dataclass
@@ -64,13 +64,14 @@ def peeled(names: DataFrame, pairs: DataFrame, heights: int | None = 0) -> Graph
     rest = pairs
     while heights is None or len(rounds) < heights:
         inner = rest.select(F.col("p").alias("c")).distinct().withColumn("inner", F.lit(True))
-        state = stored(rest.join(inner, "c", "left").select("p", "c", F.col("inner").isNull().alias("ripe")), "peel")
-        ripe = state.where("ripe").select("p", "c")
-        if ripe.isEmpty():
-            rest = state.select("p", "c")
-            break
-        rounds.append(ripe.withColumn("hc", F.lit(len(rounds))))
+        seen = Observation()
+        state = stored(rest.join(inner, "c", "left").select("p", "c", F.col("inner").isNull().alias("ripe")).observe(seen, F.count_if("ripe").alias("ripe"), F.count("*").alias("all")), "peel")
+        ripe, every = seen.get["ripe"], seen.get["all"]
         rest = state.where("not ripe").select("p", "c")
+        if ripe:
+            rounds.append(state.where("ripe").select("p", "c", F.lit(len(rounds)).alias("hc")))
+        if ripe in (0, every):
+            break
     marked = reduce(DataFrame.unionByName, [*rounds, rest.withColumn("hc", F.lit(None).cast("int"))])
     # a parent is one higher than its highest child, if all its links were peeled
     high = marked.groupBy("p").agg(F.when(F.count("*") == F.count("hc"), F.max("hc") + 1).alias("hp"))
@@ -104,12 +105,10 @@ def _deep(rest: DataFrame, lists: list[DataFrame], handed) -> DataFrame:
     """The closure of nodes that were not peeled: reach among themselves by doubling, then what is peeled below them."""
     open_ends = rest.select("p").distinct()
     among = rest.join(open_ends.withColumnRenamed("p", "c"), "c", "left_semi").select(F.col("p").alias("a"), F.col("c").alias("d"))
-    reach = stored(among.distinct(), "reach")
-    size = reach.count()
+    reach, size = _counted(among.distinct())
     while size:
         onward = reach.select(F.col("a").alias("d"), F.col("d").alias("next"))
-        reach = stored(reach.unionByName(reach.join(onward, "d").select("a", F.col("next").alias("d"))).distinct(), "reach")
-        grown = reach.count()
+        reach, grown = _counted(reach.unionByName(reach.join(onward, "d").select("a", F.col("next").alias("d"))).distinct())
         if grown == size:
             break
         size = grown
@@ -118,6 +117,12 @@ def _deep(rest: DataFrame, lists: list[DataFrame], handed) -> DataFrame:
     return reach.unionByName(below.unionByName(far).distinct())
 
 
+def _counted(pairs: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    out = stored(pairs.observe(seen, F.count("*").alias("n")), "reach")
+    return out, seen.get["n"]
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(g, ancestor, node), distinct, of distinct edges (g, parent, child): every node that is reached by one or more links."""
     nodes = edges.select("g", F.col("parent").alias("node")).union(edges.select("g", F.col("child").alias("node"))).distinct()
@@ -136,7 +141,7 @@ def descendants(topic: DataFrame) -> DataFrame:
     A code on a circle is its own ancestor. An empty table gives an empty result; repeated rows change nothing; extra
     columns are ignored.
     """
-    names, pairs = numbered(*links(topic))
+    names, pairs = links(topic)
     return _named(names, closure_of(peeled(names, pairs))).select(F.col("g").alias("codebook_id"), "ancestor", F.col("node").alias("code"))
 
 
@@ -147,7 +152,7 @@ def hierarchy(topic: DataFrame) -> DataFrame:
     (it is that path's root and is marked on_circle), since a path through a circle has no end; paths do not enter it. A
     node with several parents has a row for each way to it, so there are as many rows as the links have ways.
     """
-    names, pairs = numbered(*links(topic))
+    names, pairs = links(topic)
     graph = peeled(names, pairs)
     below = stored(closure_of(graph), "closure")
     circle = stored(below.where("a = d").select(F.col("a").alias("n")), "circles")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from engramma.operators import hierarchy as module
-from engramma.operators.hierarchy import descendants, hierarchy, links, numbered, peeled
+from engramma.operators.hierarchy import descendants, hierarchy, links, peeled
 
 SCHEMA = "codebook_id string, code string, parents array<string>, status string, extra int"
 
@@ -61,12 +61,12 @@ def test_paths(spark):
 def test_a_long_chain_is_peeled_in_part(spark):
     rows = [("g", f"n{i}", [f"n{i - 1}"] if i else [], None, 1) for i in range(100)]
     topic = spark.createDataFrame(rows, SCHEMA)
-    graph = peeled(*numbered(*links(topic)), heights=3)
+    graph = peeled(*links(topic), heights=3)
     assert graph.top == 3 and graph.links.where("hp is null").count() == 96
     assert descendants(topic).count() == 99 * 100 // 2
 
 
 def test_order_of_peeling(spark):
     rows = [("g", "a", [], None, 1), ("g", "b", ["a"], None, 1), ("g", "c", ["b", "a"], None, 1), ("g", "d", ["a"], None, 1)]
-    graph = peeled(*numbered(*links(spark.createDataFrame(rows, SCHEMA))))
+    graph = peeled(*links(spark.createDataFrame(rows, SCHEMA)))
     assert graph.pairs == [(1, 0), (2, 0), (2, 1)]
