@@ -110,8 +110,13 @@ class Index:
 
     def child(self, member: int, name: str) -> int | None:
         """The last member called ``name``, as a parser would take it."""
-        got = [c for c in self.children(member) if self.name(c) == name]
-        return int(got[-1]) if got else None
+        plain = name.encode()
+        for c in self.children(member)[::-1]:
+            lo, hi = self.key[c]
+            key = self.text[lo + 1 : hi - 1]
+            if lo >= 0 and (key == plain or b"\\" in key and self.name(c) == name):
+                return int(c)
+        return None
 
 
 _SESSION = re.compile(r"session_\d+")
@@ -170,6 +175,18 @@ def dialogue_rows(text: str | None) -> dict[str, list[tuple]]:
     return out
 
 
+def spread(records: DataFrame, key: str) -> DataFrame:
+    """Records over all cores by their key, since one scan task may hold many that are long to index."""
+    spark = records.sparkSession
+    return records.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["link_kind", "rec_id", "parent_key", "child_key"])
+
+
+LINKS = "link_kind string, rec_id string, parent_key string, child_key string"
 TURNS = "rec_id string, session string, pos int, dia_id string, who string, text string"
 
 
@@ -183,7 +200,7 @@ def dialogue_turns(dialogue: DataFrame, id_col: str = "sample_id", json_col: str
             types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["rec_id", "session", "pos", "dia_id", "who", "text"])
 
-    return dialogue.select(F.col(id_col).cast("string"), json_col).mapInArrow(flat, TURNS)
+    return spread(dialogue.select(F.col(id_col).cast("string"), json_col), id_col).mapInArrow(flat, TURNS)
 
 
 def dialogue_links(dialogue: DataFrame, id_col: str = "sample_id", json_col: str = "record") -> DataFrame:
@@ -196,21 +213,66 @@ def dialogue_links(dialogue: DataFrame, id_col: str = "sample_id", json_col: str
                 found = dialogue_rows(record)
                 rows += [("turn", i, session, dia) for session, _, dia, _, _ in found["turn"] if dia]
                 rows += [("evidence", i, str(q), dia) for q, dia in found["evidence"]]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["link_kind", "rec_id", "parent_key", "child_key"])
+            yield _links(rows)
+
+    return spread(dialogue.select(F.col(id_col).cast("string"), json_col), id_col).mapInArrow(flat, LINKS)
+
+
+def broken_records(dialogue: DataFrame, id_col: str = "sample_id", json_col: str = "record") -> DataFrame:
+    """(rec_id): the records that the index refuses, since brackets, quotes or delimiters do not match; null ones too."""
+
+    def refused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [i for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not Index((r or "").encode("utf-8", "surrogatepass")).ok]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["rec_id"])
+
+    return spread(dialogue.select(F.col(id_col).cast("string"), json_col), id_col).mapInArrow(refused, "rec_id string").distinct()
 
-    return dialogue.select(F.col(id_col).cast("string"), json_col).mapInArrow(flat, "link_kind string, rec_id string, parent_key string, child_key string")
+
+#: Characters that Unicode calls white space.
+_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SOLID = re.compile(rb"[0-9A-Za-z]")
+HAYSTACK = "haystack_session_ids", "answer_session_ids", "haystack_sessions"
+
+
+def haystack_rows(text: str) -> list[tuple[str, str, str]]:
+    """(link_kind, parent_key, child_key) of one haystack record in JSON."""
+    ix = Index(text.encode("utf-8", "surrogatepass"))
+    out: list[tuple[str, str, str]] = []
+    if not ix.ok:
+        return out
+    ids, answers, sessions = (ix.child(-1, n) for n in HAYSTACK)
+    strings = lambda m: [(int(ix.pos[c]), ix.value(int(c))) for c in ix.children(m)] if m is not None else []
+    wanted = {v for _, v in strings(answers)}
+    for p, v in strings(ids):
+        if v is not None:
+            out.append(("haystack_session", str(p), v))
+            if v in wanted:
+                out.append(("answer_session", str(p), v))
+    if sessions is not None:
+        # the members three levels below the sessions: of a turn of a session
+        up = lambda m: np.where(m >= 0, ix.parent[m], -2)
+        turn = up(np.arange(ix.parent.size))
+        session = up(turn)
+        for m in np.flatnonzero(up(session) == sessions):
+            lo, hi = ix.key[m]
+            if hi - lo == 9 and ix.text[lo:hi] == b'"content"':
+                raw = ix.raw(m)
+                if raw != b"null" and (b"\\" not in raw and _SOLID.search(raw) or json.loads(raw).strip(_WHITE)):
+                    out.append(("haystack_turn", str(ix.pos[session[m]]), str(ix.pos[turn[m]])))
+    return out
 
 
 def haystack_links(stack: DataFrame) -> DataFrame:
     """(link_kind, rec_id, parent_key, child_key) of haystack rows: ``haystack_session``, ``answer_session`` and
-    ``haystack_turn``. These nest as typed arrays, so their positions come from ``posexplode``."""
-    ids = stack.select(F.col("question_id").alias("rec_id"), "answer_session_ids", F.posexplode("haystack_session_ids").alias("p", "child_key")).where("child_key is not null")
-    session = ids.select(F.lit("haystack_session").alias("link_kind"), "rec_id", F.col("p").cast("string").alias("parent_key"), "child_key")
-    answer = ids.where("array_contains(answer_session_ids, child_key)").select(F.lit("answer_session").alias("link_kind"), "rec_id", F.col("p").cast("string").alias("parent_key"), "child_key")
-    turns = haystack_turns(stack).where(r"content rlike '(?U)\\S'")
-    turn = turns.select(F.lit("haystack_turn").alias("link_kind"), "rec_id", F.col("session_pos").cast("string").alias("parent_key"), F.col("turn_pos").cast("string").alias("child_key"))
-    return session.unionByName(answer).unionByName(turn)
+    ``haystack_turn``. A row is indexed as one JSON record, like a dialogue."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _links([(kind, i, parent, child) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for kind, parent, child in haystack_rows(text)])
+
+    record = F.to_json(F.struct(*HAYSTACK), {"ignoreNullFields": "false"})
+    return spread(stack.select(F.col("question_id").alias("rec_id"), *HAYSTACK), "rec_id").select("rec_id", record.alias("record")).mapInArrow(flat, LINKS)
 
 
 def haystack_turns(stack: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from engramma.operators.nested import Index, dialogue_links, dialogue_rows, dialogue_turns, haystack_links, haystack_turns
+from engramma.operators.nested import Index, broken_records, dialogue_links, dialogue_rows, dialogue_turns, haystack_links, haystack_turns
 
 VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=12), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=6), x, max_size=4), max_leaves=25)
 
@@ -47,15 +47,22 @@ def test_links(spark):
     assert got == {("turn", "s", "session_1", "D1:1"), ("turn", "s", "session_1", "D1:2"), ("turn", "s", "session_2", "D2:1"), ("evidence", "s", "0", "D1:2"), ("evidence", "s", "1", "D1:1"), ("evidence", "s", "1", "D2:1")}
     assert dialogue_turns(df.where("sample_id = 's'").limit(1)).count() == 4
     assert dialogue_links(df.limit(0)).count() == 0
+    assert {r["rec_id"] for r in broken_records(df).collect()} == {"n", "b"}
+
+
+def test_the_last_of_equal_names_counts():
+    ix = Index(b'{"a": 1, "\\u0061": 2, "b": 3}')
+    assert ix.value(ix.child(-1, "a")) == 2 and ix.value(ix.child(-1, "b")) == 3 and ix.child(-1, "c") is None
 
 
 def test_haystacks(spark):
     schema = "question_id string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role string, content string, has_answer boolean>>>"
     turn = lambda c: (None, c, None)
-    df = spark.createDataFrame([("q", ["b", "zz"], ["a", "b", "b", None], [[turn("x"), turn(" \n"), turn(None)], None, [], [turn("y")]]), ("e", None, None, None)], schema)
+    df = spark.createDataFrame([("q", ["b", "zz"], ["a", "b", "b", None], [[turn("x"), turn(" \n"), turn(None), turn("\u3000\u2028"), turn("ß"), turn('"content": "q" }]')], None, [], [turn("y")]]), ("e", None, None, None)], schema)
     got = {tuple(r) for r in haystack_links(df).collect()}
     assert got == {
         ("haystack_session", "q", "0", "a"), ("haystack_session", "q", "1", "b"), ("haystack_session", "q", "2", "b"), ("answer_session", "q", "1", "b"), ("answer_session", "q", "2", "b"),
-        ("haystack_turn", "q", "0", "0"), ("haystack_turn", "q", "3", "0"),
+        ("haystack_turn", "q", "0", "0"), ("haystack_turn", "q", "0", "4"), ("haystack_turn", "q", "0", "5"), ("haystack_turn", "q", "3", "0"),
     }
-    assert haystack_turns(df).count() == 4
+    assert haystack_turns(df).count() == 7
+    assert haystack_links(df.limit(0)).count() == 0
