@@ -67,12 +67,59 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def parse(text: str | None, etype: str | None, known: frozenset[str] = frozenset()) -> tuple[str, list[str], str, str]:
+class Lexicon:
+    """Given names and their other forms, with an index of what is left of them without a letter or two, so that what is
+    like a name is found without going through all."""
+
+    def __init__(self, known: frozenset[str] = frozenset()) -> None:
+        self.known = known
+        self.starts = {g[:3] for g in known}
+        self.near: dict[str, list[str]] = {}
+        for g in known:
+            for key in {*_shortened(g), "~" + _UMLAUT.sub("", g)}:
+                self.near.setdefault(key, []).append(g)
+
+    def __contains__(self, token: str) -> bool:
+        return token in self.known
+
+    def like(self, token: str) -> bool:
+        """Whether a token is a name, a misspelt one, or the first three letters of one."""
+        if token in self.known or len(token) == 3 and token in self.starts:
+            return True
+        return any(abs(len(token) - len(g)) <= 2 and token_similarity(token, g) > 0 for key in {*_shortened(token), "~" + _UMLAUT.sub("", token)} for g in self.near.get(key, ()))
+
+    def joined(self, token: str) -> tuple[str, str] | None:
+        """(name, rest) of a word that a name of three letters or more begins or ends, four letters or more being left."""
+        for n in range(len(token) - 4, 2, -1):
+            if token[:n] in self.known:
+                return token[:n], token[n:]
+            if token[-n:] in self.known:
+                return token[-n:], token[:-n]
+        return None
+
+
+def _shortened(token: str) -> set[str]:
+    """A token without up to as many letters as a misspelling of it may change."""
+    out = {token}
+    if len(token) >= 3:
+        out |= {token[:i] + token[i + 1 :] for i in range(len(token))}
+    if len(token) >= 5:
+        out |= {t[:i] + t[i + 1 :] for t in list(out) for i in range(len(t))}
+    return out
+
+
+@lru_cache(2)
+def _lexicon(known: frozenset[str]) -> Lexicon:
+    return Lexicon(known)
+
+
+def parse(text: str | None, etype: str | None, known: Lexicon | None = None) -> tuple[str, list[str], str, str]:
     """(class, tokens, initials, shape) of a form; ``known`` has the given names and their other forms.
 
     class: person, org or none (places, products, role words, blanks). shape: full, initial, title, acronym, part, single.
     """
     nothing = ("none", [], "", "none")
+    known = known or Lexicon()
     if text is None or not text.strip():
         return nothing
     kind = (etype or "").split(".")[0]
@@ -108,21 +155,16 @@ def parse(text: str | None, etype: str | None, known: frozenset[str] = frozenset
         return nothing
     if len(core) == 1 and not initials and not title:
         one = core[0]
-        first = max((g for g in known if len(g) > 2 and len(one) >= len(g) + 4 and (one.startswith(g) or one.endswith(g))), key=len, default=None)
-        if first is None:
+        if (both := known.joined(one)) is None:
             return "person", core, "", "single"
-        core = [first, one[len(first) :] if one.startswith(first) else one[: -len(first)]]
+        core = list(both)
     if len(core) == 1:
         return "person", core, initials, "initial" if initials else "title"
-    if len(core) == 2 and not kind and not initials and not title and not any(_given_like(t, known) for t in core):
+    if len(core) == 2 and not kind and not initials and not title and not any(known.like(t) for t in core):
         return "org", core, "", "part"  # the first words of a firm, or a place
     return "person", core, initials, "full"
 
 
-def _given_like(token: str, known: frozenset[str]) -> bool:
-    return token in known or any(abs(len(token) - len(g)) <= 2 and token_similarity(token, g) > 0 or len(token) == 3 and g.startswith(token) for g in known)
-
-
 @lru_cache(50_000)
 def _org_word(t: str) -> bool:
     return t in ORG_WORDS or (len(t) > 6 and any(abs(len(t) - len(o)) <= 2 and edits(t, o, 2) <= (1 if len(o) < 9 else 2) for o in ORG_WORDS if len(o) > 6))
@@ -205,13 +247,13 @@ class Verifier:
             return not person and len(toks) >= 2 and len(full) > len(toks) and all(token_similarity(x, y) > 0 for x, y in zip(toks, full, strict=False))
         if not person or len(full) < 2:
             return False
+        only_given = all(t in self.given for t in full)  # then each may be the family name
         for i, t in enumerate(full):
-            if token_similarity(toks[0], t) > 0 and t not in self.given:
+            if token_similarity(toks[0], t) > 0 and (only_given or t not in self.given):
                 others = [x for j, x in enumerate(full) if j != i]
-                if shape == "title":
-                    return True
                 firsts = {x[0] for x in others} | {g[0] for g, n in self.nick if n in others}
-                return initials[0] in firsts
+                if shape == "title" or initials[0] in firsts:
+                    return True
         return False
 
 
@@ -232,9 +274,12 @@ def forms(entity: DataFrame, fact: DataFrame, known: frozenset[str]) -> DataFram
     said = fact.where("codebook_id is not null").select(F.col("codebook_id").alias("g"), F.explode("entities").alias("node")).where("node is not null").distinct()
     labels = said.join(own.select("g", "node"), ["g", "node"], "left_anti").select("g", "node", F.lit(None).cast("string").alias("etype"), F.col("node").alias("text"), F.lit("self").alias("src"))
 
+    shared = entity.sparkSession.sparkContext.broadcast(known)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(shared.value)
         for b in batches:
-            got = [parse(t, k, known) for t, k in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            got = [parse(t, k, lexicon) for t, k in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.list_(pa.string())), pa.array([x[2] for x in got], pa.string()), pa.array([x[3] for x in got], pa.string())],
                 names=["g", "node", "src", "kind", "toks", "initials", "shape"],
@@ -282,25 +327,27 @@ def _bounded(df: DataFrame) -> list:
 
 
 def similar_tokens(rare: DataFrame) -> DataFrame:
-    """(g, a, b): the pairs of tokens of one codebook, equal ones too, whose q-grams are alike; from (g, token), distinct.
+    """(g, a, b): the pairs of tokens of one codebook whose q-grams are alike, equal ones too but for common ones; from
+    (g, token, common), distinct; without the column none is common.
 
     Prefix filter: with its grams in order of their frequency, a token shares one of its first |S| - ceil(JACCARD |S|) + 1
-    grams with every token that is so similar.
+    grams with every token that is so similar. Of two common tokens nothing is asked.
     """
+    rare = rare if "common" in rare.columns else rare.withColumn("common", F.lit(False))
     padded = F.concat(F.lit("^"), "token", F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") + 3 - Q), lambda i: F.substring(padded, i, Q)))
     sets = rare.withColumn("grams", grams)
     frequency = sets.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    ranked = sets.select("g", "token", F.explode("grams").alias("gram"), F.size("grams").alias("n")).join(frequency, "gram")
+    ranked = sets.select("g", "token", "common", F.explode("grams").alias("gram"), F.size("grams").alias("n")).join(frequency, "gram")
     order = W.partitionBy("g", "token").orderBy("count", "gram")
-    prefix = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(JACCARD) * F.col("n")) + 1).select("g", "gram", "token", "n")
+    prefix = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(JACCARD) * F.col("n")) + 1).select("g", "gram", "token", "n", "common")
     # length filter: sets of very different size cannot be so similar
-    a, b = prefix.toDF("g", "gram", "a", "na"), prefix.toDF("g", "gram", "b", "nb")
-    pairs = a.join(b, ["g", "gram"]).where((F.col("a") < F.col("b")) & (F.col("na") >= JACCARD * F.col("nb")) & (F.col("nb") >= JACCARD * F.col("na"))).select("g", "a", "b").distinct()
+    a, b = prefix.toDF("g", "gram", "a", "na", "ca"), prefix.toDF("g", "gram", "b", "nb", "cb")
+    pairs = a.join(b, ["g", "gram"]).where((F.col("a") < F.col("b")) & ~(F.col("ca") & F.col("cb")) & (F.col("na") >= JACCARD * F.col("nb")) & (F.col("nb") >= JACCARD * F.col("na"))).select("g", "a", "b").distinct()
     near = pairs.where(F.levenshtein("a", "b") <= 3)
     joined = pairs.where((F.length("a") >= 10) & F.col("a").contains(F.col("b")) | (F.length("b") >= 10) & F.col("b").contains(F.col("a")))
     both = near.unionByName(joined).distinct()
-    return both.unionByName(both.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(rare.select("g", F.col("token").alias("a"), F.col("token").alias("b")))
+    return both.unionByName(both.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(rare.where("not common").select("g", F.col("token").alias("a"), F.col("token").alias("b")))
 
 
 def link_names(spark: SparkSession, codebook: DataFrame, entity: DataFrame, fact: DataFrame) -> DataFrame:
@@ -314,7 +361,7 @@ def link_names(spark: SparkSession, codebook: DataFrame, entity: DataFrame, fact
     member = stored(forms(entity, fact, frozenset(known)).withColumn("fid", F.xxhash64("kind", F.array_join("toks", " "), "initials", "shape")), "forms")
     f = _weighed(member.select("g", "fid", "kind", "shape", "toks", "initials").dropDuplicates(["g", "fid"]), member)
     member = member.select("g", "node", "fid", "src", "shape").distinct()
-    links = stored(_verified(spark, f, _candidates(f, sorted(known | ORG_WORDS)), nick, given), "name-links")
+    links = stored(_verified(spark, f, _candidates(f, spark.createDataFrame([(w,) for w in sorted(known | ORG_WORDS)], "token string")), nick, given), "name-links")
 
     # full forms that are alike, or of one string, make groups
     full = member.where("shape = 'full'").select("g", "node", "fid")
@@ -354,13 +401,33 @@ def _weighed(f: DataFrame, member: DataFrame) -> DataFrame:
     return cut(f.join(each, ["g", "fid"]))
 
 
-def _candidates(f: DataFrame, common: list[str]) -> DataFrame:
-    """(g, a, b): the pairs of forms with alike rare tokens, and acronyms with the names that they spell."""
-    rare = f.where("shape <> 'acronym'").select("g", "fid", "kind", "shape", F.explode("toks").alias("token")).where(~F.col("token").isin(common) & (F.length("token") > 2))
-    near = similar_tokens(rare.select("g", "token").distinct())
-    left, right = rare.toDF("g", "fa", "kind", "sa", "a"), rare.toDF("g", "fb", "kind", "sb", "b")
+def _candidates(f: DataFrame, common: DataFrame) -> DataFrame:
+    """(g, a, b): the pairs of forms with alike rare tokens, and acronyms with the names that they spell.
+
+    A form of common words only (given names, words of firms, tokens of two letters or less) has no rare token. It meets
+    misspelt ones through all its tokens, and its like through pairs of tokens, and of a token and an initial.
+    """
+    each = f.where("shape <> 'acronym'").select("g", "fid", "kind", "shape", F.explode(F.array_distinct("toks")).alias("token"))
+    marked = each.join(common.withColumn("listed", F.lit(True)), "token", "left").withColumn("common", F.col("listed").isNotNull() | (F.length("token") <= 2)).drop("listed")
+    bare = marked.groupBy("g", "fid").agg(F.bool_and("common").alias("bare"))
+    rare = marked.join(bare, ["g", "fid"]).where("not common or bare").select("g", "fid", "kind", "shape", "token", "common")
+    near = similar_tokens(rare.groupBy("g", "token").agg(F.bool_and("common").alias("common")))
+    left, right = (rare.drop("common").toDF("g", f"f{s}", "kind", f"s{s}", s) for s in ("a", "b"))
     useful = "fa <> fb and (sa = sb and fa < fb or sa <> 'full' and sb = 'full')"
     pairs = left.join(near, ["g", "a"]).join(right, ["g", "b", "kind"]).where(useful).select("g", F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
+    # forms of one set of tokens whatever they were taken for, and bare ones by two of their tokens or a token and an initial
+    named = f.where("shape <> 'acronym'")
+    whole = named.where("size(toks) > 1").select("g", "fid", "shape", F.array_join(F.array_sort("toks"), " ").alias("key"))
+    plain = named.join(bare.where("bare"), ["g", "fid"])
+    two = plain.where("size(toks) > 1").select("g", "fid", "shape", "toks", F.explode("toks").alias("t")).select("g", "fid", "shape", "t", F.explode("toks").alias("o")).where("t <> o")
+    by_two = two.where("t < o").select("g", "fid", "shape", F.concat_ws(" + ", "t", "o").alias("key"))
+    by_first = two.select("g", "fid", "shape", F.concat_ws(" ", "t", F.substring("o", 1, 1)).alias("key")).unionByName(plain.where("shape = 'initial'").select("g", "fid", "shape", F.concat_ws(" ", F.col("toks")[0], F.substring("initials", 1, 1)).alias("key")))
+    titled = two.select("g", "fid", "shape", F.concat_ws(" ", "t", F.lit("*")).alias("key")).unionByName(plain.where("shape = 'title'").select("g", "fid", "shape", F.concat_ws(" ", F.col("toks")[0], F.lit("*")).alias("key"))).distinct()
+    only = "fa <> fb and (sa = sb and sa <> 'full' and fa < fb or sa <> 'full' and sb = 'full')"
+    for keyed, fits in ((whole, useful), (by_two, useful), (by_first.distinct(), only), (titled, only)):
+        x, y = (keyed.distinct().toDF("g", f"f{s}", f"s{s}", "key") for s in ("a", "b"))
+        pairs = pairs.unionByName(x.join(y, ["g", "key"]).where(fits).select("g", F.col("fa").alias("a"), F.col("fb").alias("b")))
+    pairs = pairs.distinct()
     acronyms = f.where("shape = 'acronym'").select("g", F.col("toks")[0].alias("key"), F.col("fid").alias("a"))
     letters = F.array_join(F.transform("toks", lambda t: F.substring(t, 1, 1)), "")
     spelled = f.where("kind = 'org' and shape = 'full' and size(toks) > 2").select("g", letters.alias("key"), F.col("fid").alias("b"))
@@ -376,7 +443,7 @@ def _verified(spark: SparkSession, f: DataFrame, pairs: DataFrame, nick: frozens
         v = Verifier(*shared.value)
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            columns = [at[n].to_pylist() for n in ("kind_a", "shape_a", "shape_b", "toks_a", "toks_b", "initials_a", "initials_b", "ws_a", "ws_b")]
+            columns = [at[n].to_pylist() for n in ("kind_b", "shape_a", "shape_b", "toks_a", "toks_b", "initials_a", "initials_b", "ws_a", "ws_b")]
             out = []
             for kind, sa, sb, ta, tb, ia, ib, wa, wb in zip(*columns, strict=True):
                 person = kind == "person"
@@ -384,7 +451,7 @@ def _verified(spark: SparkSession, f: DataFrame, pairs: DataFrame, nick: frozens
                     clash = person and ia and ib and ia[0] != ib[0]
                     out.append("same" if not clash and v.similarity(ta, tb, wa, wb, person) >= SAME else None)
                 elif sb == "full":
-                    out.append("part" if v.partial((ta, ia, sa), tb, person) else None)
+                    out.append("part" if sorted(ta) == sorted(tb) and len(ta) > 1 or v.partial((ta, ia, sa), tb, person) else None)
                 else:
                     alike = sa == sb != "acronym" and ia[:1] == ib[:1] and len(ta) == len(tb) and all(token_similarity(x, y) for x, y in zip(ta, tb, strict=True))
                     out.append("twin" if alike else None)

@@ -1,8 +1,11 @@
 """Problem 5."""
 
+import random
+import time
+
 import pytest
 
-from engramma.llm.names import edits, link_names, parse, similar_tokens, tokens
+from engramma.llm.names import Lexicon, edits, link_names, parse, similar_tokens, token_similarity, tokens
 
 ENTITY = "codebook_id string, code string, etype string, name string, aliases array<string>, g int"
 FACT = "codebook_id string, id string, entities array<string>, root string"
@@ -54,8 +57,6 @@ def test_edits(a, b, d):
 
 
 def test_prefix_filter_misses_nothing(spark):
-    import random
-
     rng = random.Random(3)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(70)}
     grams = lambda w: {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
@@ -63,3 +64,23 @@ def test_prefix_filter_misses_nothing(spark):
     got = {(r["a"], r["b"]) for r in similar_tokens(spark.createDataFrame([("g", w) for w in words], "g string, token string")).collect()}
     near = {(a, b) for a in words for b in words if alike(a, b) and edits(a, b, 3) <= 2}
     assert near <= got
+
+
+def test_names_without_a_rare_word(spark):
+    entities = [("robert_martin", "person", "Robert Martin", None), ("zoe_robert", "person", "Zoe Robert", None), ("li_wei", "person", "Li Wei", None)]
+    labels = [["Martin, Robert", "R. Martin", "Robret Martin", "Wei, Li", "Z. Robert"], ["Martin", "Robert", "Li"]]
+    got = linked(spark, entities, labels, "robert martin zoe")
+    assert got == group("robert_martin", "Martin, Robert", "R. Martin", "Robret Martin") | group("zoe_robert", "Z. Robert") | group("li_wei", "Wei, Li")
+
+
+def test_a_large_lexicon_is_not_gone_through():
+    rng = random.Random(1)
+    names = frozenset("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(4, 9))) for _ in range(20_000))
+    lexicon = Lexicon(names)
+    some = rng.sample(sorted(names), 300)
+    words = [n[:2] + n[3:] for n in some] + some + [n + "vespehl" for n in some] + ["".join(rng.choice("vwxyz") for _ in range(8)) for _ in range(300)]
+    began = time.process_time()
+    got = [parse(f"{w} vespehl", None, lexicon) for w in words] + [parse(w, None, lexicon) for w in words]
+    assert (time.process_time() - began) / len(got) < 0.001
+    for w in rng.sample(words, 12):  # the index finds what going through all finds
+        assert lexicon.like(w) == (w in names or any(abs(len(w) - len(g)) <= 2 and token_similarity(w, g) > 0 or len(w) == 3 and g.startswith(w) for g in names))
