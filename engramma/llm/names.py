@@ -361,7 +361,8 @@ def link_names(spark: SparkSession, codebook: DataFrame, entity: DataFrame, fact
     member = stored(forms(entity, fact, frozenset(known)).withColumn("fid", F.xxhash64("kind", F.array_join("toks", " "), "initials", "shape")), "forms")
     f = _weighed(member.select("g", "fid", "kind", "shape", "toks", "initials").dropDuplicates(["g", "fid"]), member)
     member = member.select("g", "node", "fid", "src", "shape").distinct()
-    links = stored(_verified(spark, f, _candidates(f, spark.createDataFrame([(w,) for w in sorted(known | ORG_WORDS)], "token string")), nick, given), "name-links")
+    pairs = stored(_candidates(f, spark.createDataFrame([(w,) for w in sorted(known | ORG_WORDS)], "token string")), "name-pairs")
+    links = stored(_verified(spark, f, pairs, nick, given), "name-links")
 
     # full forms that are alike, or of one string, make groups
     full = member.where("shape = 'full'").select("g", "node", "fid")
@@ -407,27 +408,26 @@ def _candidates(f: DataFrame, common: DataFrame) -> DataFrame:
     A form of common words only (given names, words of firms, tokens of two letters or less) has no rare token. It meets
     misspelt ones through all its tokens, and its like through pairs of tokens, and of a token and an initial.
     """
-    each = f.where("shape <> 'acronym'").select("g", "fid", "kind", "shape", F.explode(F.array_distinct("toks")).alias("token"))
+    each = f.where("shape <> 'acronym'").select("g", "fid", "kind", "shape", "toks", "initials", F.explode(F.array_distinct("toks")).alias("token"))
     marked = each.join(common.withColumn("listed", F.lit(True)), "token", "left").withColumn("common", F.col("listed").isNotNull() | (F.length("token") <= 2)).drop("listed")
-    bare = marked.groupBy("g", "fid").agg(F.bool_and("common").alias("bare"))
-    rare = marked.join(bare, ["g", "fid"]).where("not common or bare").select("g", "fid", "kind", "shape", "token", "common")
-    near = similar_tokens(rare.groupBy("g", "token").agg(F.bool_and("common").alias("common")))
-    left, right = (rare.drop("common").toDF("g", f"f{s}", "kind", f"s{s}", s) for s in ("a", "b"))
+    bare = F.bool_and("common").over(W.partitionBy("g", "fid"))
+    rare = stored(marked.withColumn("bare", bare).where("not common or bare"), "name-tokens")  # plans end where they are used again
+    near = stored(similar_tokens(rare.groupBy("g", "token").agg(F.bool_and("common").alias("common"))), "alike-tokens")
+    left, right = (rare.select("g", "fid", "kind", "shape", "token").toDF("g", f"f{s}", "kind", f"s{s}", s) for s in ("a", "b"))
     useful = "fa <> fb and (sa = sb and fa < fb or sa <> 'full' and sb = 'full')"
-    pairs = left.join(near, ["g", "a"]).join(right, ["g", "b", "kind"]).where(useful).select("g", F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
+    pairs = left.join(near, ["g", "a"]).join(right, ["g", "b", "kind"]).where(useful).select("g", F.col("fa").alias("a"), F.col("fb").alias("b"))
     # forms of one set of tokens whatever they were taken for, and bare ones by two of their tokens or a token and an initial
-    named = f.where("shape <> 'acronym'")
-    whole = named.where("size(toks) > 1").select("g", "fid", "shape", F.array_join(F.array_sort("toks"), " ").alias("key"))
-    plain = named.join(bare.where("bare"), ["g", "fid"])
-    two = plain.where("size(toks) > 1").select("g", "fid", "shape", "toks", F.explode("toks").alias("t")).select("g", "fid", "shape", "t", F.explode("toks").alias("o")).where("t <> o")
-    by_two = two.where("t < o").select("g", "fid", "shape", F.concat_ws(" + ", "t", "o").alias("key"))
-    by_first = two.select("g", "fid", "shape", F.concat_ws(" ", "t", F.substring("o", 1, 1)).alias("key")).unionByName(plain.where("shape = 'initial'").select("g", "fid", "shape", F.concat_ws(" ", F.col("toks")[0], F.substring("initials", 1, 1)).alias("key")))
-    titled = two.select("g", "fid", "shape", F.concat_ws(" ", "t", F.lit("*")).alias("key")).unionByName(plain.where("shape = 'title'").select("g", "fid", "shape", F.concat_ws(" ", F.col("toks")[0], F.lit("*")).alias("key"))).distinct()
-    only = "fa <> fb and (sa = sb and sa <> 'full' and fa < fb or sa <> 'full' and sb = 'full')"
-    for keyed, fits in ((whole, useful), (by_two, useful), (by_first.distinct(), only), (titled, only)):
-        x, y = (keyed.distinct().toDF("g", f"f{s}", f"s{s}", "key") for s in ("a", "b"))
-        pairs = pairs.unionByName(x.join(y, ["g", "key"]).where(fits).select("g", F.col("fa").alias("a"), F.col("fb").alias("b")))
-    pairs = pairs.distinct()
+    row = "g", "fid", "shape"
+    first = lambda x: F.substring(x, 1, 1)
+    keys = f.where("shape <> 'acronym' and size(toks) > 1").select(*row, F.concat_ws(" ", F.lit("="), F.array_join(F.array_sort("toks"), " ")).alias("key"))
+    plain = rare.where("bare").select(*row, F.col("token").alias("t"), "toks", "initials")
+    one = plain.where("shape in ('initial', 'title')").select(*row, F.when(F.col("shape") == "title", F.concat_ws(" ", F.lit("*"), "t")).otherwise(F.concat_ws(" ", F.lit("."), "t", first("initials"))).alias("key"))
+    other = plain.where("size(toks) > 1").select(*row, "t", F.explode("toks").alias("o")).where("t <> o")
+    made = F.array(F.when(F.col("t") < F.col("o"), F.concat_ws(" ", F.lit("+"), "t", "o")), F.concat_ws(" ", F.lit("."), "t", first("o")), F.concat_ws(" ", F.lit("*"), "t"))
+    keys = keys.unionByName(one).unionByName(other.select(*row, F.explode(made).alias("key")).where("key is not null")).distinct()
+    x, y = (keys.toDF("g", f"f{s}", f"s{s}", "key") for s in ("a", "b"))
+    # full forms that share but a token, or a token and an initial, are no candidates
+    pairs = pairs.unionByName(x.join(y, ["g", "key"]).where(useful).where("substr(key, 1, 1) in ('=', '+') or sa <> 'full'").select("g", F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
     acronyms = f.where("shape = 'acronym'").select("g", F.col("toks")[0].alias("key"), F.col("fid").alias("a"))
     letters = F.array_join(F.transform("toks", lambda t: F.substring(t, 1, 1)), "")
     spelled = f.where("kind = 'org' and shape = 'full' and size(toks) > 2").select("g", letters.alias("key"), F.col("fid").alias("b"))
