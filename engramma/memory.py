@@ -10,7 +10,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from typing import Protocol
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramma.catalog import Catalog
-from engramma.functions.lexical import documents, frequencies
+from engramma.functions.lexical import documents, frequencies, specificity
 from engramma.operators import channels, evidence, ingest, vocabulary
 from engramma.plans import questions
 from engramma.plans.execute import execute
@@ -216,6 +216,10 @@ class Memory:
 
     def recall(self, query: str, limit: int = 10) -> list[dict]:
         """The facts that fit a query best: plan, words and dates, fused."""
+        return self._recalled(query, limit)[0]
+
+    def _recalled(self, query: str, limit: int) -> tuple[list[dict], Plan | None, list[dict]]:
+        """(rows, plan, counts): the recalled facts, and the plan with the aggregates that it asked for."""
         if not query or not query.strip() or limit < 1:
             raise ConfigurationFault("a query and a limit of one at least are needed")
         c = self.catalog
@@ -224,28 +228,42 @@ class Memory:
         ranked = [channels.lexical(docs, channels.question_stems(base), 2 * limit)]
         a = questions.anchors(query)
         if a.day or a.month:
-            spec = channels.F.lit(0.0)
             anchors = self.spark.createDataFrame([("q", self.codebook, a.day, a.month)], "qid string, g string, day string, month string")
-            rare = docs.select("g", "type", "id").withColumn("specificity", spec)
-            ranked.append(channels.date_window(c, anchors, rare).select("qid", "g", F.lit("fact").alias("type"), "id", "rank"))
-        plan = self.plan(query)
+            ranked.append(channels.date_window(c, anchors, specificity(docs, frequencies(docs))).select("qid", "g", F.lit("fact").alias("type"), "id", "rank"))
+        plan, counts = self.plan(query), []
         if plan is not None:
-            rows = execute(c, plan, 2 * limit, 6).rows.where("type = 'F'")
+            ran = execute(c, plan, 2 * limit, 6)
+            counts = [] if ran.counts is None else [r.asDict() for r in ran.counts.collect()]
+            rows = ran.rows.where("type = 'F'")
             ranked.insert(0, rows.select("qid", "g", F.lit("fact").alias("type"), "id", F.col("seat").alias("rank")))
         best = channels.fused(ranked).where("type = 'fact'").orderBy("rank").limit(limit)
         full = best.select("g", "id", "rank").join(evidence.hydrated(c), ["g", "id"]).orderBy("rank")
-        return [r.asDict(recursive=True) for r in full.collect()]
+        return [r.asDict(recursive=True) for r in full.collect()], plan, counts
+
+    def absent_subjects(self, question: str) -> list[str]:
+        """The subjects of a question of which no record of the memory knows."""
+        asked_ = self.spark.createDataFrame([("q", self.codebook, question)], "qid string, g string, question string")
+        docs = documents(self.catalog.fact, self.catalog.line).select("g", channels.F.explode("toks").alias("stem"))
+        return sorted(r["subject"] for r in evidence.premise_risks(self.catalog, docs, asked_).collect())
 
-    def answer(self, question: str, limit: int = 10) -> Answer:
-        """An answer from recalled facts, with citations of what was shown only."""
-        rows = self.recall(question, limit)
+    def answer(self, question: str, limit: int = 10, rules: Iterable[str] = (), may_refuse: bool = True) -> Answer:
+        """An answer from recalled facts, with citations of what was shown only.
+
+        A question for a number of sessions is answered by the plan's own count, which no limit has cut. ``rules`` of
+        :func:`questions.finished` may turn an answer into a refusal, which cites nothing.
+        """
+        rows, plan, counts = self._recalled(question, limit)
+        if plan is not None and counts and questions.counts_units(question, plan.intent, counts[0]["of"]):
+            return Answer(question, str(counts[0]["n"]), tuple(rows), tuple(r["id"] for r in rows[:5]))
         shown = {x for r in rows for x in (r["id"], *(s["id"] for s in r["sources"]))}
         text = "\n".join(f"[{r['date']}] ({r['id']}) {r['text']}" + "".join(f" | {s['id']}: {s['text'][:120]}" for s in r["sources"][:2]) for r in sorted(rows, key=lambda r: (r["date"], r["id"])))
         reply = asked(self.provider, _ANSWER.format(question=question, evidence=text))
         said = reply.get("answer")
         said = said if isinstance(said, str) and said.strip() else questions.NO_ANSWER
         claimed = reply.get("citations") if isinstance(reply.get("citations"), list) else []
-        return Answer(question, said, tuple(rows), tuple(dict.fromkeys(x for x in map(str, claimed) if x in shown)))
+        rules = tuple(rules)
+        said, fired = questions.finished(said, question, rules, self.absent_subjects(question) if "premise" in rules else (), may_refuse)
+        return Answer(question, said, tuple(rows), () if fired else tuple(dict.fromkeys(x for x in map(str, claimed) if x in shown)))
 
     def summary(self) -> dict:
         rows = evidence.summary(self.catalog).collect()

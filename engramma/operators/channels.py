@@ -122,10 +122,9 @@ def chosen_by_tokens(plan_rows: DataFrame, fused_rows: DataFrame, cap: int, unit
     precise = plan.where(~F.col("bound") & (F.col("score") >= PRECISE_SCORE)).withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy(F.col("score").desc(), "rank"))).where(F.col("rank") <= PRECISE_ROWS)
     bound = plan.where("bound").withColumn("rank", F.row_number().over(W.partitionBy("qid", "g").orderBy("rank"))).where(F.col("rank") <= BOUND_ROWS)
     part = lambda df, n: df.select("qid", "g", "type", "id", "unit", "cost", F.lit(n).alias("part"), "rank")
-    # every row costs something, so no more than ``cap`` fused rows of each unit's first ones can be admitted
+    # of a unit only the first rows can be admitted, whatever was admitted before
     nth = F.row_number().over(W.partitionBy("qid", "g", "unit").orderBy("rank"))
     follow = fused_rows.where(F.col("cost") <= cap).withColumn("_nth", nth).where(F.col("_nth") <= unit_cap + PRECISE_ROWS + BOUND_ROWS)
-    follow = follow.withColumn("_at", F.row_number().over(W.partitionBy("qid", "g").orderBy("rank"))).where(F.col("_at") <= cap)
     rows = part(bound, 0).unionByName(part(precise, 1)).unionByName(part(follow, 2))
     listed = rows.groupBy("qid", "g").agg(F.array_sort(F.collect_list(F.struct("part", "rank", "type", "id", "unit", "cost"))).alias("rows"))
     state = "struct<total:int,stop:boolean,rows:array<struct<type:string,id:string,unit:string,cost:int>>>"

@@ -111,6 +111,22 @@ def rendered(date: Column, ident: Column, src: Column, text: Column, bound: Colu
     return F.concat(head, text, F.when(F.size(said) > 0, F.concat(F.lit(" | verbatim: "), F.array_join(said, " / "))).otherwise(""))
 
 
+#: Most characters of a speaker's label.
+LABEL = 24
+
+
+def speaker_label(who: Column) -> Column:
+    """A speaker as a label: on one line, without brackets, quotes, bars, slashes and control characters, of bounded length."""
+    bare = F.regexp_replace(F.coalesce(who, F.lit("")), r"[\[\]()|:\"'<>\\/\x00-\x1f\x7f]", " ")
+    return F.substring(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), 1, LABEL)
+
+
+def spoken(who: Column, text: Column) -> Column:
+    """A line with the label of its speaker before it; without one, the text as it is."""
+    label = speaker_label(who)
+    return F.when(label != "", F.concat(label, F.lit(": "), text)).otherwise(text)
+
+
 def citations(claimed: Column, shown: Column) -> Column:
     """The claimed ids that were shown, each once, in the order claimed."""
     return F.array_intersect(claimed, shown)

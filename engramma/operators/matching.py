@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from engramma.catalog import Catalog
 from engramma.functions.dates import conf_rank, in_window
+from engramma.functions.patterns import usable
 from engramma.operators.vocabulary import closure
 from engramma.session import cut
 
@@ -27,13 +28,28 @@ NEVER = 99
 
 
 def requests(df: DataFrame) -> DataFrame:
-    """A request table with all columns: (qid, g) and, where absent or null, empty filters; ``closure`` is true by default."""
+    """A request table with all columns: (qid, g) and, where absent or null, empty filters; ``closure`` is true by default.
+
+    ``exact`` are the topics that are asked for without what is below them: those listed, or all if ``closure`` is false. A
+    pattern that is none counts as absent, so that one request cannot fail the others, and ``unreadable`` tells of it.
+    """
     have = set(df.columns)
+    none = F.array().cast("array<string>")
     cols = [F.col("qid"), F.col("g")]
-    cols += [(F.coalesce(F.array_distinct(F.col(c)), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")).alias(c) for c in LISTS]
+    cols += [(F.coalesce(F.array_distinct(F.col(c)), none) if c in have else none).alias(c) for c in LISTS]
     cols += [(F.coalesce(F.col(c), F.lit(d)) if c in have else F.lit(d)).alias(c) for c, d in TEXTS.items()]
-    cols.append((F.coalesce(F.col("closure"), F.lit(True)) if "closure" in have else F.lit(True)).alias("closure"))
-    return df.select(*cols)
+    closure = F.coalesce(F.col("closure"), F.lit(True)) if "closure" in have else F.lit(True)
+    exact = F.coalesce(F.col("exact"), none) if "exact" in have else none
+    cols += [closure.alias("closure"), exact.alias("exact")]
+    out = df.select(*cols).withColumn("exact", F.when(F.col("closure"), F.col("exact")).otherwise(F.col("topics"))).drop("closure")
+    if "grep" in have:
+        out = out.withColumn("_p", usable(F.col("grep"))).withColumn("unreadable", F.col("_p").isNull()).withColumn("grep", F.coalesce("_p", F.lit(""))).drop("_p")
+    else:
+        out = out.withColumn("unreadable", F.lit(False))
+    if "grep_all" in have:
+        each = out.select("qid", "g", F.explode("grep_all").alias("p")).distinct().select("qid", "g", usable(F.col("p")).alias("p")).where("p is not null")
+        out = out.drop("grep_all").join(each.groupBy("qid", "g").agg(F.sort_array(F.collect_set("p")).alias("grep_all")), ["qid", "g"], "left").withColumn("grep_all", F.coalesce("grep_all", none))
+    return out
 
 
 def has_content() -> Column:
@@ -73,10 +89,10 @@ def prune(c: Catalog, req: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame
 
 def expanded(c: Catalog, req: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     """Requests with what their values stand for: ``closures`` array<struct<code, codes, deep>>, ``depths`` map of code to
-    depth, ``reach_entities`` and ``reach_obj``."""
+    depth, ``strict_depths`` the same without what is below exact topics, ``reach_entities`` and ``reach_obj``."""
     out = req
     if "topics" in axes:
-        asked = req.select("qid", "g", F.explode("topics").alias("root"))
+        asked = req.select("qid", "g", "exact", F.explode("topics").alias("root")).select("qid", "g", "root", F.array_contains("exact", F.col("root")).alias("alone"))
         below = closure(c, asked.select("g", "root"))
         parents = c.edge.join(c.topic.select("g", F.col("code").alias("child")), ["g", "child"]).select("g", F.col("child").alias("code")).distinct().withColumn("deep", F.lit(True))
         codes = below.join(parents, ["g", "code"], "left").groupBy("g", "root").agg(F.collect_list(F.struct("code", "depth", F.coalesce("deep", F.lit(False)).alias("deep"))).alias("members"))
@@ -84,9 +100,11 @@ def expanded(c: Catalog, req: DataFrame, axes: tuple[str, ...] = AXES) -> DataFr
         packed = F.collect_list(F.struct(F.col("root").alias("code"), F.col("members.code").alias("codes"), F.transform(F.filter("members", lambda m: m["deep"]), lambda m: m["code"]).alias("deep")))
         whole = each.groupBy("qid", "g").agg(packed.alias("closures"))
         least = each.select("qid", "g", F.explode("members").alias("m")).groupBy("qid", "g", "m.code").agg(F.min("m.depth").alias("depth")).groupBy("qid", "g").agg(F.map_from_entries(F.collect_list(F.struct("code", "depth"))).alias("depths"))
-        out = out.join(whole, ["qid", "g"], "left").join(least, ["qid", "g"], "left")
+        reach = F.when(~F.col("alone") | (F.col("m.depth") == 0), F.col("m.depth"))
+        strict = each.select("qid", "g", "alone", F.explode("members").alias("m")).groupBy("qid", "g", "m.code").agg(F.min(reach).alias("depth")).where("depth is not null").groupBy("qid", "g").agg(F.map_from_entries(F.collect_list(F.struct("code", "depth"))).alias("strict_depths"))
+        out = out.join(whole, ["qid", "g"], "left").join(least, ["qid", "g"], "left").join(strict, ["qid", "g"], "left")
     else:
-        out = out.withColumn("closures", F.lit(None).cast("array<struct<code:string,codes:array<string>,deep:array<string>>>")).withColumn("depths", F.lit(None).cast("map<string,int>"))
+        out = out.withColumn("closures", F.lit(None).cast("array<struct<code:string,codes:array<string>,deep:array<string>>>")).withColumn("depths", F.lit(None).cast("map<string,int>")).withColumn("strict_depths", F.lit(None).cast("map<string,int>"))
     if "entities" in axes:
         asked = req.select("qid", "g", F.explode("entities").alias("entity"))
         reach = asked.join(c.entity_targets(), ["g", "entity"]).unionByName(asked.select("g", "entity", "qid", F.lit("entities").alias("axis"), F.col("entity").alias("code")))
@@ -127,12 +145,13 @@ def first_steps(c: Catalog, req: DataFrame, legal_kinds: list[str] | None = None
         "entities": empty("q_entities") | F.arrays_overlap("entities", "q_reach_entities") | F.arrays_overlap("obj", "q_reach_obj"),
         "time": ((F.col("q_lo") == "") & (F.col("q_hi") == "")) | in_window(F.col("eff"), F.col("q_lo"), F.col("q_hi")),
     }
-    depth = F.array_min(F.filter(F.transform("topics", lambda t: F.element_at("q_depths", t)), lambda d: d.isNotNull()))
-    j = j.withColumn("tdepth", F.when(empty("q_topics"), 0).otherwise(depth))
-    topics = F.when(F.col("tdepth").isNull(), NEVER).when(F.col("q_closure") | (F.col("tdepth") == 0), 0).otherwise(STEP["topics"])
+    deep = lambda m: F.array_min(F.filter(F.transform("topics", lambda t: F.element_at(m, t)), lambda d: d.isNotNull()))
+    j = j.withColumn("_strict", F.when(empty("q_topics"), 0).otherwise(deep("q_strict_depths")))
+    j = j.withColumn("tdepth", F.coalesce("_strict", deep("q_depths")))
+    topics = F.when(F.col("tdepth").isNull(), NEVER).when(F.col("_strict").isNotNull(), 0).otherwise(STEP["topics"])
     step = F.greatest(topics, *[F.when(ok[n], 0).otherwise(STEP[n]) for n in RELAX[:-1]])
     j = j.where(empty("q_units") | F.expr("array_contains(q_units, unit)")).where(conf_rank(F.col("conf")) >= F.when(F.col("q_conf_min") == "low", 0).when(F.col("q_conf_min") == "high", 2).when(F.col("q_conf_min") == "med", 1).otherwise(0))
-    return j.withColumn("step", step).withColumn("most", _most()).where(F.col("step") <= F.col("most"))
+    return j.withColumn("step", step).withColumn("most", _most()).where(F.col("step") <= F.col("most")).drop("_strict")
 
 
 def _most() -> Column:

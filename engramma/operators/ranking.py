@@ -39,12 +39,12 @@ def pattern_weights(patterns: DataFrame, idf: DataFrame) -> DataFrame:
 def scored(c: Catalog, m: DataFrame, idf: DataFrame | None = None, typed: bool = True) -> DataFrame:
     """Matched facts with their ``score`` under the relaxed request: filters given up at the taken step do not count."""
     kept = lambda name: F.col("taken") < STEP[name]
-    forced = (F.col("taken") >= STEP["topics"]) | F.col("q_closure")
+    forced = lambda code: (F.col("taken") >= STEP["topics"]) | ~F.array_contains("q_exact", code)
     topic = F.aggregate(
         F.coalesce("q_closures", F.array().cast("array<struct<code:string,codes:array<string>,deep:array<string>>>")),
         F.lit(0.0),
         lambda a, t: a
-        + F.when(F.array_contains("topics", t["code"]), EXACT).when(forced & F.arrays_overlap("topics", t["deep"]), DEEP).when(forced & F.arrays_overlap("topics", t["codes"]), SHALLOW).otherwise(0.0),
+        + F.when(F.array_contains("topics", t["code"]), EXACT).when(forced(t["code"]) & F.arrays_overlap("topics", t["deep"]), DEEP).when(forced(t["code"]) & F.arrays_overlap("topics", t["codes"]), SHALLOW).otherwise(0.0),
     )
     entity = F.when(kept("entities"), ENTITY * F.size(F.array_intersect("entities", "q_entities"))).otherwise(0.0)
     facets = F.lit(0.0)
@@ -206,9 +206,12 @@ def units_selected(c: Catalog, req: DataFrame) -> DataFrame:
 
 
 def lines_selected(c: Catalog, req: DataFrame) -> DataFrame:
-    """Lines of requests (qid, g, lo, hi, units, who, grep); speakers must be the asked ones."""
+    """Lines of requests (qid, g, lo, hi, units, who, grep); speakers must be the asked ones. A request whose pattern is
+    unreadable has none."""
     from engramma.functions.dates import in_window
 
+    if "unreadable" in req.columns:
+        req = req.where("not unreadable")
     j = c.line.join(req.select("qid", "g", "lo", "hi", "units", F.col("who").alias("q_who"), "grep"), "g")
     ok = ((F.size("units") == 0) | F.expr("array_contains(units, unit)")) & ((F.size("q_who") == 0) | F.expr("array_contains(q_who, who)"))
     when = ((F.col("lo") == "") & (F.col("hi") == "")) | in_window(F.col("unit_date"), F.col("lo"), F.col("hi"))

@@ -139,12 +139,62 @@ def taxonomy_tree(c: Catalog, max_lines: int = 200, candidates: bool = True) ->
     return numbered.where(F.col("line_no") <= max_lines).select("g", "line_no", (F.size("path") - 1).alias("depth"), "code", F.when(F.col("status") == "candidate", "?").otherwise("").alias("mark"))
 
 
-def admission(c: Catalog, k: int = 5) -> DataFrame:
-    """(g, unit, code, parent, admitted): topics in the order of a unit's proposals; beyond ``k`` they fold into a parent."""
-    parent = c.edge.groupBy("g", F.col("child").alias("code")).agg(F.min("parent").alias("parent"))
-    born = c.topic.where("born <> ''").select("g", F.col("born").alias("unit"), "code").join(parent, ["g", "code"], "left")
-    ranked = born.withColumn("rank", F.row_number().over(W.partitionBy("g", "unit").orderBy("code")))
-    return ranked.select("g", "unit", "code", F.coalesce("parent", F.lit("")).alias("parent"), (F.col("rank") <= k).alias("admitted"))
+def admission(c: Catalog, proposals: DataFrame, k: int = 5, topic_alias: DataFrame | None = None) -> DataFrame:
+    """(g, unit, seq, code, parent, outcome): what becomes of proposals (g, unit, seq, code, parent) in their order.
+
+    ``touched``: the code is known, or an earlier proposal took it; ``rejected``: it is blank, or its parent is unknown;
+    ``admitted``: one of the first ``k`` new topics of its unit; ``folded``: beyond these, its parent is touched instead.
+    Codes and parents are in normal form, or what an alias says. A parent must be declared before the proposals.
+    """
+    from engramma.functions.symbols import norm_code
+
+    p = proposals.select("g", "unit", "seq", norm_code("code").alias("code"), norm_code("parent").alias("parent"))
+    names = p.select("g", F.col("code").alias("surface")).union(p.select("g", F.col("parent").alias("surface"))).where("surface <> ''").distinct()
+    known = resolve_topics(c, names, topic_alias).where("code is not null").select("g", "surface", F.col("code").alias("real"))
+    p = p.join(known.withColumnRenamed("surface", "code").withColumnRenamed("real", "own"), ["g", "code"], "left")
+    p = p.join(known.withColumnRenamed("surface", "parent").withColumnRenamed("real", "above"), ["g", "parent"], "left")
+    fresh = (F.col("code") != "") & F.col("own").isNull() & F.col("above").isNotNull()
+    # of the proposals of one new code the first in its unit that is admitted makes it, the later ones touch it
+    first = F.row_number().over(W.partitionBy("g", "unit", "code", fresh).orderBy("seq")) == 1
+    p = p.withColumn("new", fresh & first)
+    rank = F.sum(F.col("new").cast("int")).over(W.partitionBy("g", "unit").orderBy("seq"))
+    p = p.withColumn("admitted", F.col("new") & (rank <= k))
+    made = F.max("admitted").over(W.partitionBy("g", "unit", "code"))
+    outcome = F.when(F.col("own").isNotNull(), "touched").when(~fresh, "rejected").when(F.col("admitted"), "admitted").when(made & ~F.col("new"), "touched").otherwise("folded")
+    return p.select("g", "unit", "seq", F.coalesce("own", "code").alias("code"), F.coalesce("above", "parent").alias("parent"), outcome.alias("outcome"))
+
+
+def define_roots(c: Catalog, codes: DataFrame) -> DataFrame:
+    """The topic table with roots (g, code) declared: canonical topics without a parent; known codes stay as they are."""
+    from engramma.functions.symbols import norm_code
+
+    new = codes.select("g", norm_code("code").alias("code")).where("code <> ''").distinct().join(c.topic.select("g", "code"), ["g", "code"], "left_anti")
+    return c.topic.unionByName(new.select("g", "code", F.lit("canonical").alias("status"), F.lit("").alias("born")))
+
+
+def aliased(c: Catalog, told: DataFrame, known: DataFrame) -> DataFrame:
+    """The aliases (g, surface, code) that (g, surface, code) adds: in normal form, of codes in ``known`` (g, code) only; a
+    surface that is itself a code, or is told of two codes, is left out."""
+    from engramma.functions.symbols import norm_code
+
+    t = told.select("g", norm_code("surface").alias("surface"), norm_code("code").alias("code")).where("surface <> '' and surface <> code").distinct()
+    t = t.join(known.select("g", "code").distinct(), ["g", "code"], "left_semi").join(known.select("g", F.col("code").alias("surface")).distinct(), ["g", "surface"], "left_anti")
+    return t.groupBy("g", "surface").agg(F.min("code").alias("code"), F.countDistinct("code").alias("n")).where("n = 1").drop("n")
+
+
+def merge_entities(c: Catalog, rewrite: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, alias) after merging (g, loser, winner): a loser's code and aliases become aliases of its winner."""
+    r = rewrite.select("g", "loser", "winner").where("loser <> winner").distinct()
+    entity = c.entity.join(r.select("g", F.col("loser").alias("code")), ["g", "code"], "left_anti")
+    moved = c.alias.join(r.withColumnRenamed("loser", "code"), ["g", "code"], "left").select("g", "surface", F.coalesce("winner", "code").alias("code"))
+    return entity, moved.unionByName(r.select("g", F.col("loser").alias("surface"), F.col("winner").alias("code"))).where("surface <> code").distinct()
+
+
+def relate(c: Catalog, told: DataFrame) -> DataFrame:
+    """(g, src, rel, dst), distinct: relations between known entities; their ends are resolved, loops are left out."""
+    ends = lambda col: resolve_entities(c, told.select("g", F.col(col).alias("surface"))).where("code is not null").select("g", F.col("surface").alias(col), F.col("code").alias(f"{col}_code"))
+    both = told.select("g", "src", "rel", "dst").join(ends("src"), ["g", "src"]).join(ends("dst"), ["g", "dst"])
+    return both.where("src_code <> dst_code and rel <> ''").select("g", F.col("src_code").alias("src"), "rel", F.col("dst_code").alias("dst")).distinct()
 
 
 def merge_topics(c: Catalog, rewrite: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -136,7 +136,18 @@ ORACLES: dict[str, str] = {
     + "SELECT f.g, f.id, coalesce(raw.joined, (SELECT string_agg(t, ' ' ORDER BY i) FROM y WHERE y.g = f.g AND y.id = f.id), '') topics FROM f LEFT JOIN raw USING (g, id)",
     "deprecate_topics": _with(_T, _E, "gone AS (SELECT g, code FROM tp WHERE status = 'deprecated')")
     + "SELECT g, parent, child FROM ed WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.g = ed.g AND gone.code = ed.parent) UNION SELECT x.g, y.parent, x.child FROM ed x JOIN gone ON gone.g = x.g AND gone.code = x.parent JOIN ed y ON y.g = x.g AND y.child = x.parent",
-    "admission": _with(_T, _E, "pa AS (SELECT g, child code, min(parent) parent FROM ed GROUP BY ALL)") + "SELECT tp.g, born unit, tp.code, coalesce(parent, '') parent, row_number() OVER (PARTITION BY tp.g, born ORDER BY tp.code) <= 2 admitted FROM tp LEFT JOIN pa ON pa.g = tp.g AND pa.code = tp.code WHERE born <> ''",
+    "admission": _with(
+        _T, _E, "pa AS (SELECT g, child code, min(parent) parent FROM ed GROUP BY ALL)",
+        "bo AS (SELECT tp.g, born unit, tp.code, coalesce(parent, '') parent FROM tp LEFT JOIN pa ON pa.g = tp.g AND pa.code = tp.code WHERE born <> '')",
+        "pr AS (SELECT g, unit, reverse(code) || ' ' || code seq, code raw, parent FROM bo UNION ALL SELECT g, unit, reverse(code) || ' ' || code || ' anew', code || ' anew', parent FROM bo)",
+        f"nf AS (SELECT g, unit, seq, {_norm('raw')} code, {_norm('parent')} parent FROM pr)",
+        "lv AS (SELECT g, code FROM tp WHERE status <> 'deprecated')",
+        "jo AS (SELECT nf.*, o.code IS NOT NULL known, a.code IS NOT NULL parented FROM nf LEFT JOIN lv o ON o.g = nf.g AND o.code = nf.code LEFT JOIN lv a ON a.g = nf.g AND a.code = nf.parent)",
+        "fr AS (SELECT *, code <> '' AND NOT known AND parented fresh FROM jo)",
+        "nw AS (SELECT *, fresh AND row_number() OVER (PARTITION BY g, unit, code, fresh ORDER BY seq) = 1 new FROM fr)",
+        "ad AS (SELECT *, new AND sum(new::INT) OVER (PARTITION BY g, unit ORDER BY seq) <= 2 adm FROM nw)",
+    ) + """SELECT g, unit, seq, code, parent, CASE WHEN known THEN 'touched' WHEN NOT fresh THEN 'rejected' WHEN adm THEN 'admitted'
+      WHEN max(adm) OVER (PARTITION BY g, unit, code) AND NOT new THEN 'touched' ELSE 'folded' END outcome FROM ad""",
     "match_topic": _with(_F, _T, _E, _R, _closure("SELECT g, topic root FROM roots")) + "SELECT DISTINCT f.g, f.id, 0::BIGINT taken FROM f JOIN cl ON cl.g = f.g AND list_contains(f.topics, cl.code)",
     "match_facets": _with(_F) + f"SELECT g, id, 0::BIGINT taken FROM f WHERE list_has_any(obj, {_OBJECTS})",
     "match_entity_bridge": _with(_F, _N, _A, "q AS (SELECT g, min(code) e FROM en WHERE etype = 'person' GROUP BY g)", "ec AS (SELECT g, e code FROM q UNION SELECT q.g, surface FROM q JOIN al ON al.g = q.g AND al.code = q.e)", "ob AS (SELECT DISTINCT q.g, unnest(obj) o FROM q JOIN f ON f.g = q.g AND list_contains(f.entities, q.e))")
@@ -170,7 +181,7 @@ ORACLES: dict[str, str] = {
     "grep_idf_score": _with(_F, _L, _G, _D, _I, _GREPPED) + "SELECT g, id, round(score, 6)::DOUBLE score FROM grepped",
     "sort_dur_tail": _with(*_SCORED_OF, _U, _RANKED, "s1 AS (SELECT ra.g, ra.id, row_number() OVER (PARTITION BY ra.g ORDER BY coalesce(dur_min, 0), ra.rank) r, count(*) OVER (PARTITION BY ra.g) n FROM ra LEFT JOIN u ON u.g = ra.g AND u.id = ra.unit)")
     + "SELECT g, id, (r - greatest(0, n - 2))::BIGINT rank FROM s1 WHERE n - r < 2",
-    "count_facts": _with(*_SCORED_OF, _RANKED) + "SELECT g, count(*) n, string_agg(id, ' ' ORDER BY rank) FILTER (rank <= 5) members FROM ra GROUP BY g",
+    "count_facts": _with(*_SCORED_OF, _RANKED) + "SELECT g, count(*) n, string_agg(id, ' ' ORDER BY rank) FILTER (rank <= 40) members FROM ra GROUP BY g",
     "pool_subqueries": _with(*_POOL_OF) + "SELECT g, key, unit, date, round(score, 6)::DOUBLE score FROM pool",
     "pack_unit_cap": _with(*_POOL_OF, "pk AS (SELECT *, row_number() OVER (PARTITION BY g, unit ORDER BY round(score, 9) DESC, key) n FROM pool)", "pk2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, key) seat FROM pk WHERE n <= 2)")
     + "SELECT g, key, unit, date, round(score, 6)::DOUBLE score, seat::BIGINT seat FROM pk2 WHERE seat <= 12",
@@ -202,6 +213,54 @@ ORACLES: dict[str, str] = {
     + "SELECT DISTINCT p.g, p.unit, p.id, p.place::BIGINT \"at\" FROM p JOIN h ON h.g = p.g AND h.unit = p.unit AND abs(h.place - p.place) = 1 WHERE NOT EXISTS (SELECT 1 FROM ci WHERE ci.g = p.g AND ci.id = p.id)",
     "profile_block": _with(_F, "t1 AS (SELECT *, CASE WHEN len(topics) > 0 THEN topics[1] ELSE 'misc' END topic FROM f WHERE kind IN ('preference', 'identity'))", "t2 AS (SELECT *, row_number() OVER (PARTITION BY g, topic ORDER BY unit_date DESC, id) n FROM t1)", "t3 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY unit_date DESC, id) rank FROM t2 WHERE n = 1)")
     + "SELECT g, topic, id, unit_date, left(text, 150) text, rank::BIGINT rank FROM t3 WHERE rank <= 15",
+    "session_block": _with(
+        _L, _U, "ui AS (SELECT DISTINCT g, id unit FROM u)", "p AS (SELECT l.*, row_number() OVER (PARTITION BY g, unit ORDER BY pos, id) - 1 place FROM l)",
+        "r AS (SELECT p.g, p.unit, id, place, '(' || id || ') ' || who || ': ' lab, '(' || id || ') ' || who || ': ' || text AS row FROM p JOIN ui USING (g, unit))",
+        "s AS (SELECT *, sum(length(row) + 1) OVER (PARTITION BY g, unit ORDER BY place ROWS UNBOUNDED PRECEDING) - length(row) - 1 start FROM r)",
+        "e AS (SELECT *, max(start + length(row)) OVER (PARTITION BY g, unit) ends FROM s)",
+    )
+    + "SELECT g, unit, left(string_agg(row, chr(10) ORDER BY place), 6000) body, coalesce(string_agg(id, ' ' ORDER BY place) FILTER (start + length(lab) < least(6000, ends)), '') shown FROM e GROUP BY g, unit",
+    "spoken_lines": _with(_L, r"""lb AS (SELECT g, id, text, left(trim(regexp_replace(regexp_replace(who, '[\[\]()|:"''<>\\/\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), 24) label FROM l)""")
+    + "SELECT g, id, CASE WHEN label <> '' THEN label || ': ' || text ELSE text END AS row FROM lb",
+    "sessions_of_facts": _with(_F) + r"SELECT g, id, regexp_replace(regexp_replace(id, '[FL]\d+$', ''), ':\d+$', '') sessions FROM f",
+    "stratified_questions": """WITH q AS (SELECT DISTINCT question_id, question_type, suffix(question_id, '_abs') a FROM longmemeval_s_cleaned), n AS (SELECT greatest(1, 20 // count(DISTINCT question_type)) quota FROM q),
+      r AS (SELECT *, row_number() OVER (PARTITION BY question_type, a ORDER BY question_id) nth, row_number() OVER (PARTITION BY a ORDER BY question_id) every FROM q),
+      t AS (SELECT question_id, question_type, CASE WHEN a AND every <= 2 THEN 0 WHEN NOT a AND nth <= quota THEN 1 ELSE 2 END tier FROM r, n)
+      SELECT question_id, question_type FROM t ORDER BY tier, question_id LIMIT 20""",
+    "facet_codes": _with(
+        "x AS (SELECT DISTINCT codebook_id, id, obj, dur FROM fact)",
+        f"e AS (SELECT codebook_id, id, i, {_norm('v')} c FROM (SELECT DISTINCT codebook_id, id, unnest(obj) v, generate_subscripts(obj, 1) i FROM x) WHERE v IS NOT NULL)",
+        "n AS (SELECT codebook_id, id, i, CASE WHEN c LIKE '%ies' AND length(c) > 3 THEN left(c, length(c) - 3) || 'y' WHEN c LIKE '%s' AND c NOT LIKE '%ss' AND length(c) > 3 THEN left(c, length(c) - 1) ELSE c END c FROM e WHERE c <> '')",
+        "m AS (SELECT codebook_id, id, c, min(i) i FROM n GROUP BY ALL)", "k AS (SELECT *, row_number() OVER (PARTITION BY codebook_id, id ORDER BY i) r FROM m)",
+        "o AS (SELECT codebook_id, id, string_agg(c, ' ' ORDER BY i) obj FROM k WHERE r <= 4 GROUP BY ALL)", "d AS (SELECT codebook_id, id, upper(trim(coalesce(dur, ''))) u FROM x)",
+    )
+    + r"SELECT d.codebook_id, d.id, coalesce(o.obj, '') obj, CASE WHEN u <> 'P' AND regexp_full_match(u, 'P(\d+Y)?(\d+M)?(\d+W)?(\d+D)?') THEN u ELSE '' END dur FROM d LEFT JOIN o ON o.codebook_id = d.codebook_id AND o.id = d.id",
+    "match_topics_mixed": _with(
+        _F, _T, _E, "rt AS (SELECT g, min(code) a, max(code) b FROM (SELECT DISTINCT g, parent code FROM ed) JOIN (SELECT g, code FROM tp WHERE status <> 'deprecated') USING (g, code) GROUP BY g HAVING min(code) <> max(code))",
+        _closure("SELECT g, b root FROM rt", "cb"), _closure("SELECT g, a root FROM rt", "ca"),
+        "ask AS (SELECT g, a code FROM rt UNION SELECT g, code FROM cb)", "wide AS (SELECT g, code FROM ca UNION SELECT g, code FROM cb)",
+        "m0 AS (SELECT DISTINCT f.g, f.id FROM f JOIN ask ON ask.g = f.g AND list_contains(f.topics, ask.code))",
+        "m9 AS (SELECT DISTINCT f.g, f.id FROM f JOIN wide ON wide.g = f.g AND list_contains(f.topics, wide.code))",
+    )
+    + "SELECT g, id, 0::BIGINT taken FROM m0 UNION ALL SELECT g, id, 9 FROM m9 WHERE g NOT IN (SELECT g FROM m0)",
+    "match_unreadable_pattern": _with(_F) + "SELECT g, id, 0::BIGINT taken FROM f WHERE kind IN ('plan', 'decision')",
+    "merged_topic_links": _with(_T, _E, "rw AS (SELECT ed.g, child loser, min(parent) winner FROM ed JOIN tp p ON p.g = ed.g AND p.code = parent JOIN tp c ON c.g = ed.g AND c.code = child WHERE c.status = 'candidate' GROUP BY ALL)")
+    + "SELECT DISTINCT ed.g, coalesce(w.winner, parent) parent, child FROM ed LEFT JOIN rw w ON w.g = ed.g AND w.loser = parent WHERE NOT EXISTS (SELECT 1 FROM rw WHERE rw.g = ed.g AND rw.loser = child) AND coalesce(w.winner, parent) <> child",
+    "p4_paths": _with(
+        "tp AS (SELECT DISTINCT codebook_id g, code FROM topic WHERE code IS NOT NULL)",
+        f"ed AS (SELECT DISTINCT e.g, tp.code parent, child FROM (SELECT g, {_norm('p')} p, child FROM (SELECT codebook_id g, unnest(parents) p, code child FROM topic WHERE code IS NOT NULL)) e JOIN tp ON tp.g = e.g AND {_norm('tp.code')} = e.p WHERE e.p <> '')",
+        "r AS (SELECT g, parent ancestor, child code FROM ed UNION SELECT r.g, r.ancestor, ed.child FROM r JOIN ed ON ed.g = r.g AND ed.parent = r.code)",
+        "ci AS (SELECT g, code FROM r WHERE ancestor = code)", "nd AS (SELECT g, ancestor code, count(*) n FROM r GROUP BY ALL)",
+        "fr AS (SELECT ed.* FROM ed WHERE NOT EXISTS (SELECT 1 FROM ci WHERE ci.g = ed.g AND ci.code = ed.child))",
+        "pa AS (SELECT g, code, code root, code path, 0 depth FROM tp WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.g = tp.g AND fr.child = tp.code) UNION ALL SELECT pa.g, fr.child, root, path || '/' || fr.child, depth + 1 FROM pa JOIN fr ON fr.g = pa.g AND fr.parent = pa.code)",
+    )
+    + "SELECT pa.g codebook_id, pa.code, root, path, depth, ci.code IS NOT NULL on_circle, coalesce(n, 0) n_descendants FROM pa LEFT JOIN ci ON ci.g = pa.g AND ci.code = pa.code LEFT JOIN nd ON nd.g = pa.g AND nd.code = pa.code",
+    "p3_turns": r"""WITH sess AS (SELECT sample_id, k, json_extract(record, '$.conversation.' || k) v FROM (SELECT DISTINCT sample_id, record, unnest(json_keys(record, '$.conversation')) k FROM locomo10 WHERE json_valid(record)) WHERE regexp_full_match(k, 'session_\d+')),
+      ts AS (SELECT sample_id, k, json_extract(CASE json_type(v) WHEN 'ARRAY' THEN v WHEN 'OBJECT' THEN json_extract(v, '$.turns') END, '$[*]') t FROM sess),
+      tu AS (SELECT sample_id, k, unnest(t) t, generate_subscripts(t, 1) - 1 p FROM ts),
+      hs AS (SELECT question_id, unnest(haystack_sessions) s, generate_subscripts(haystack_sessions, 1) - 1 sp FROM longmemeval_s_cleaned), ht AS (SELECT question_id, sp, unnest(s) t, generate_subscripts(s, 1) - 1 tp FROM hs)
+      SELECT DISTINCT sample_id rec_id, k parent_key, p::BIGINT pos, CASE WHEN json_type(t, '$.speaker') = 'VARCHAR' THEN t ->> '$.speaker' END who, CASE WHEN json_type(t, '$.text') = 'VARCHAR' THEN t ->> '$.text' END text FROM tu WHERE json_type(t) = 'OBJECT'
+      UNION SELECT question_id, sp::VARCHAR, tp::BIGINT, t.role, t.content FROM ht""",
     "codebook_summary": _with(_F, _L, _U, _T, _N, "ag AS (SELECT g, count(*) n_units, min(date) a, max(date) b FROM u GROUP BY g)", "al2 AS (SELECT g FROM f UNION SELECT g FROM l UNION SELECT g FROM u UNION SELECT g FROM tp UNION SELECT g FROM en)", "cf AS (SELECT g, count(*) n FROM f GROUP BY g)", "cl AS (SELECT g, count(*) n FROM l GROUP BY g)", "ct AS (SELECT g, count(*) n FROM tp GROUP BY g)", "ce AS (SELECT g, count(*) n FROM en GROUP BY g)")
     + "SELECT al2.g, coalesce(n_units, 0) n_units, coalesce(cf.n, 0) n_facts, coalesce(cl.n, 0) n_lines, coalesce(ct.n, 0) n_topics, coalesce(ce.n, 0) n_entities, coalesce(a, '') first_date, coalesce(b, '') last_date FROM al2 LEFT JOIN ag USING (g) LEFT JOIN cf USING (g) LEFT JOIN cl USING (g) LEFT JOIN ct USING (g) LEFT JOIN ce USING (g)",
     "dangling_sources": _with(_F, _L, "x AS (SELECT DISTINCT g, id, unnest(src) line FROM f)") + "SELECT g, id, line FROM x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.g = x.g AND l.id = x.line)",

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from engramma.catalog import Catalog
 from engramma.functions.lexical import documents, frequencies, specificity
+from engramma.functions.patterns import respelled
 from engramma.functions.symbols import norm_code
 from engramma.operators import matching, ranking
 from engramma.operators.vocabulary import resolve_entities, resolve_topics
-from engramma.plans.plan import Plan, Query, Where, branches, java_pattern
+from engramma.plans.plan import Plan, Query, Where, branches
 from engramma.session import cut
 
 EVIDENCE = "qid", "g", "type", "id", "unit", "date", "score", "seat", "bound"
@@ -33,9 +34,11 @@ def _requests(c: Catalog, w: Where, base: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     lit = lambda values: F.array(*[F.lit(v) for v in values]) if values else none
     if w.topics:
-        asked = base.select("g").distinct().withColumn("surface", F.explode(lit([t for t, _ in w.topics])))
-        found = resolve_topics(c, asked).where("code is not null").groupBy("g").agg(F.sort_array(F.collect_set("code")).alias("topics"))
-        req = req.join(found, "g", "left").withColumn("closure", F.lit(all(k for _, k in w.topics)))
+        wanted = F.array(*[F.struct(F.lit(t).alias("surface"), F.lit(k).alias("deep")) for t, k in w.topics])
+        asked = base.select("g").distinct().withColumn("t", F.explode(wanted)).select("g", "t.*")
+        found = resolve_topics(c, asked).where("code is not null").join(asked, ["g", "surface"]).groupBy("g", "code").agg(F.max("deep").alias("deep"))
+        found = found.groupBy("g").agg(F.sort_array(F.collect_set("code")).alias("topics"), F.sort_array(F.collect_set(F.when(~F.col("deep"), F.col("code")))).alias("exact"))
+        req = req.join(found, "g", "left")
     who = lit([x.lower() for x in w.who])
     if w.entities:
         asked = base.select("g").distinct().withColumn("surface", F.explode(lit(list(w.entities))))
@@ -52,8 +55,7 @@ def _requests(c: Catalog, w: Where, base: DataFrame) -> DataFrame:
     for n, v in (("lo", w.time[0]), ("hi", w.time[1])):
         if n not in req.columns:
             req = req.withColumn(n, F.lit(v))
-    plain = lambda p: java_pattern(p).removeprefix("(?iU)")
-    req = req.withColumn("grep", F.lit(plain(w.grep))).withColumn("grep_all", lit([plain(g) for g in w.grep_all])).withColumn("entity_kind", F.lit(w.entity_kind)).withColumn("conf_min", F.lit(w.conf_min))
+    req = req.withColumn("grep", F.lit(w.grep)).withColumn("grep_all", lit(list(w.grep_all))).withColumn("entity_kind", F.lit(w.entity_kind)).withColumn("conf_min", F.lit(w.conf_min))
     return req
 
 
@@ -84,7 +86,7 @@ def _facts(c: Catalog, q: Query, base: DataFrame, budget: int, legal: list[str]
 
 
 def _units(c: Catalog, q: Query, base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    parts = branches(q.where.grep) if q.where.grep else []
+    parts = [p for p in map(respelled, branches(q.where.grep)) if p] if q.where.grep else []
     none = F.array().cast("array<string>")
     req = _requests(c, q.where, base).withColumn("branches", F.array(*[F.lit(p) for p in parts]) if parts else none)
     r = ranking.units_selected(c, matching.requests(req).join(req.select("qid", "g", "branches"), ["qid", "g"])).withColumnsRenamed({"date": "eff"}).withColumn("unit", F.col("id"))

@@ -242,7 +242,7 @@ def branches(pattern: str) -> list[str]:
             continue
         part += c
         i += 1
-    parts = [p for p in [*parts, part] if p]
+    parts = [p.strip() for p in [*parts, part] if p.strip()]
     try:
         for p in parts:
             re.compile(p)
@@ -251,11 +251,6 @@ def branches(pattern: str) -> list[str]:
     return parts or [pattern]
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern with the same meaning in Java: case-insensitive, Unicode-aware, named groups respelled."""
-    return "(?iU)" + pattern.replace("(?P<", "(?<")
-
-
 def is_simple(pattern: str) -> bool:
     """Whether a pattern is only plain alternatives, so that each has a weight of its own."""
     return not re.search(r"[()\[\]?*+{\\]", pattern.replace("\\|", ""))

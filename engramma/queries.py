@@ -154,9 +154,24 @@ def deprecate_topics(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.deprecate_topics(c, c.topic.where("status = 'deprecated'"))[1]
 
 
+@query
+def merged_topic_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links after each candidate is merged into the least of its declared parents."""
+    c = Catalog.read(spark, d)
+    declared = c.edge.join(c.topic.select("g", F.col("code").alias("parent")), ["g", "parent"]).groupBy("g", F.col("child").alias("loser")).agg(F.min("parent").alias("winner"))
+    return vocabulary.merge_topics(c, declared.join(c.topic.where("status = 'candidate'").select("g", F.col("code").alias("loser")), ["g", "loser"]))[1]
+
+
 @query
 def admission(spark: SparkSession, d: str) -> DataFrame:
-    return vocabulary.admission(Catalog.read(spark, d), k=2)
+    """What would become of a unit's topics if they were proposed anew, with the least parent of each: in the order of their
+    codes read backwards, so that it is not theirs. Known codes are touched, those spelled anew compete for the places."""
+    c = Catalog.read(spark, d)
+    parent = c.edge.groupBy("g", F.col("child").alias("code")).agg(F.min("parent").alias("parent"))
+    born = c.topic.where("born <> ''").select("g", F.col("born").alias("unit"), "code").join(parent, ["g", "code"], "left")
+    told = born.select("g", "unit", F.reverse("code").alias("seq"), F.explode(F.array("code", F.concat("code", F.lit(" anew")))).alias("code"), F.coalesce("parent", F.lit("")).alias("parent"))
+    told = told.withColumn("seq", F.concat_ws(" ", "seq", "code"))
+    return vocabulary.admission(c, told, k=2)
 
 
 # --- matching ------------------------------------------------------------------------------------------------------
@@ -198,6 +213,21 @@ def match_topic_exact(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d, ("topics",), topics=_one("topic"), closure=F.lit(False))
 
 
+@query
+def match_topics_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The least topic with children by itself, the greatest one with what is below it."""
+    c = Catalog.read(spark, d)
+    tops = c.edge.select("g", F.col("parent").alias("code")).distinct().join(c.topic.where("status <> 'deprecated'").select("g", "code"), ["g", "code"]).groupBy("g").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b")
+    req = tops.select(F.lit("q").alias("qid"), "g", F.array("a", "b").alias("topics"), F.array("a").alias("exact"))
+    return matching.matched(c, req, ("topics",), typed=False).select("g", "id", F.col("taken").cast("long").alias("taken"))
+
+
+@query
+def match_unreadable_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern that is none is ignored where facts are asked for."""
+    return _matched(spark, d, ("kind",), kind=_list(["plan", "decision"]), grep=F.lit("(piano"))
+
+
 @query
 def match_facets(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d, ("obj",), obj=_list(OBJECTS))
@@ -321,7 +351,7 @@ def sort_dur_tail(spark: SparkSession, d: str) -> DataFrame:
 @query
 def count_facts(spark: SparkSession, d: str) -> DataFrame:
     _, s = _scored(spark, d)
-    n = ranking.counted(ranking.ranked(s), members=5)
+    n = ranking.counted(ranking.ranked(s))
     return n.select("g", "n", F.array_join(F.transform("members", lambda m: m["id"]), " ").alias("members"))
 
 
@@ -504,13 +534,31 @@ def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_block(spark: SparkSession, d: str) -> DataFrame:
-    """The session that most of a codebook's high-confidence decisions come from, as a dialogue of the reference's 6000 characters."""
+    """Every session as a dialogue of the reference's 6000 characters."""
     c = Catalog.read(spark, d)
-    rows = c.fact.where("kind = 'decision' and conf = 'high'").withColumn("qid", F.lit("q")).withColumn("seat", F.row_number().over(W.partitionBy("g").orderBy("id")))
-    b = evidence.session_block(c, evidence.dominant_unit(rows), limit=WHOLESALE)
+    units = c.unit.select(F.lit("q").alias("qid"), "g", F.col("id").alias("unit")).distinct()
+    b = evidence.session_block(c, units, limit=WHOLESALE)
     return b.select("g", "unit", "body", F.array_join("shown", " ").alias("shown"))
 
 
+@query
+def spoken_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with the label of their speaker."""
+    return Catalog.read(spark, d).line.select("g", "id", evidence.spoken(F.col("who"), F.col("text")).alias("row"))
+
+
+@query
+def sessions_of_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The session that each fact's id names."""
+    return Catalog.read(spark, d).fact.select("g", "id", F.array_join(metrics.pack_units(F.array("id")), " ").alias("sessions"))
+
+
+@query
+def stratified_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty questions of all types, the same at every call."""
+    return metrics.stratified(table(spark, d, "longmemeval_s_cleaned"), 20)
+
+
 @query
 def profile_block(spark: SparkSession, d: str) -> DataFrame:
     p = evidence.profile(Catalog.read(spark, d))

@@ -217,3 +217,37 @@ def test_the_registered_choice_fills_the_tokens_of_the_reference(spark, monkeypa
     monkeypatch.setattr(queries, "_fused", lambda *_: (c, plan.drop("unit", "score"), plan))
     got = queries.QUERIES["select_rows_by_tokens"](spark, "").collect()  # each row costs 50
     assert [r["id"] for r in sorted(got, key=lambda r: r["seat"])] == [f"g0F{i}" for i in range(34)] and sum(r["cost"] for r in got) == 1700
+
+
+def _request(spark, **columns):
+    return spark.createDataFrame([("q", "g0", *columns.values())], ["qid", "g", *columns])
+
+
+def test_topics_ask_for_what_is_below_them_one_by_one(spark):
+    c = make(spark, seed=8, books=1, n=40)
+    facts = {r["id"]: set(r["topics"]) for r in c.fact.collect()}
+    mixed = {r["id"] for r in matching.matched(c, _request(spark, topics=["t1", "t3"], exact=["t1"])).collect()}
+    assert mixed == {i for i, t in facts.items() if t & {"t1", "t3"}}
+    below = {r["id"] for r in matching.matched(c, _request(spark, topics=["t1", "t3"], exact=["t3"])).collect()}
+    assert below == {i for i, t in facts.items() if t & {"t1", "t2", "t3"}}
+    plan = Plan.from_dict({"queries": [{"where": {"topics": [{"code": "t1", "closure": False}, "t2"]}}]})
+    got = {r["id"] for r in execute(c, plan, budget=99, unit_cap=99).rows.collect()}
+    assert got == {i for i, t in facts.items() if t & {"t1", "t2"}}
+
+
+def test_one_unreadable_pattern_fails_nothing(spark):
+    c = make(spark, seed=8, books=2, n=20)
+    req = spark.createDataFrame([("q", "g0", "(piano", ["["]), ("q", "g1", "piano", ["piano"])], "qid string, g string, grep string, grep_all array<string>")
+    got = {(r["g"], r["id"]) for r in matching.matched(c, req.withColumn("kind", matching.F.array(matching.F.lit("plan")))).collect()}
+    assert {i for g, i in got if g == "g0"} == {r["id"] for r in c.fact.where("g = 'g0' and kind = 'plan'").collect()}
+    ready = matching.requests(req)
+    assert {r["g"] for r in ranking.lines_selected(c, ready).select("g").distinct().collect()} == {"g1"}
+
+
+def test_full_units_use_up_no_tokens(spark):
+    # fifty rows of each of eight units: the last units have their turn although the first fill the ranks
+    rows = [("q", "g", "fact", f"{u}-{i}", f"u{u}", 10, u * 50 + i + 1) for u in range(8) for i in range(50)]
+    fused = spark.createDataFrame(rows, "qid string, g string, type string, id string, unit string, cost int, rank int")
+    plan = spark.createDataFrame([], "qid string, g string, type string, id string, unit string, score double, bound boolean, cost int, rank int")
+    got = channels.chosen_by_tokens(plan, fused, cap=300, unit_cap=2).collect()
+    assert sorted(r["id"] for r in got) == sorted(f"{u}-{i}" for u in range(8) for i in range(2))

@@ -3,7 +3,8 @@
 import pytest
 
 from engramma.plans.plan import Plan, PlanError, branches, is_simple
-from engramma.plans.questions import Anchors, anchors, finished, fitted
+from engramma.functions.patterns import respelled
+from engramma.plans.questions import Anchors, anchors, counts_units, finished, fitted
 
 GOOD = {"queries": [{"select": "facts", "where": {"topics": ["a", {"code": "b", "closure": False}], "time": ["2023-05"], "grep": "x|y", "conf_min": "med"}, "pipe": [{"op": "sort", "key": "t", "desc": True}, {"op": "head", "n": 2}, {"op": "count"}]}], "intent": "aggregate"}
 BAD = [
@@ -64,6 +65,21 @@ def test_fitting():
 def test_refusals():
     assert finished("Ana went to Rome.", "Where did Ana go?", ["premise"], ["Ana"])[1] == "premise"
     assert finished("Ana went to Rome.", "Can you recommend a place for Ana?", ["premise"], ["Ana"])[1] == ""
-    assert finished("There is no direct mention of it. She surely went to Rome with her sister in May.", "Where?", ["hedge"])[1] == "hedge"
+    assert finished("There is no record of it. She surely went to Rome with her sister in May.", "Where?", ["hedge"])[1] == "hedge"
     with pytest.raises(ValueError):
         finished("a", "b", ["nonsense"])
+    assert finished("No information about Ana is stated anywhere in the records, she went to Rome in May.", "Where?", ["hedge"])[1] == ""
+    assert finished("Ana went to Rome.", "Where did Ana go?", ["premise"], ["Ana"], may_refuse=False) == ("Ana went to Rome.", "")
+
+
+def test_counts_of_sessions_answer():
+    assert counts_units("How many sessions?", "factual", "units") and counts_units("When?", "aggregate", "units")
+    assert not counts_units("How often did we meet, how many times?", "aggregate", "units") and not counts_units("How many?", "aggregate", "facts")
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("a|b", "a|b"), ("(?P<n>a)(?P=n)", "(?<n>a)\\k<n>"), ("[", None), ("a(", None), ("[[a]", "[\\[a]"), ("[]a]", "[\\]a]"), ("a{b", "a\\{b"), ("a{2,3}", "a{2,3}"), ("a\\Z", "a\\z"), ("[a&&b]", "[a\\&\\&b]")],
+)
+def test_patterns_for_the_jvm(pattern, want):
+    assert respelled(pattern) == want

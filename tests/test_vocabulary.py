@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from engramma.catalog import Catalog
 from engramma.operators import evidence, metrics, vocabulary
 from tests.test_matching import make
 
@@ -112,3 +113,28 @@ def test_sampling_is_stable(spark):
     df = spark.createDataFrame([(["s1F3", "s1L2", "s2:4", "s2"],)], "ids array<string>")
     assert df.select(metrics.pack_units(F.col("ids"))).first()[0] == ["s1", "s2"]
     assert spark.createDataFrame([(3, "a; b"), (1, "a; b")], "k int, v string").select(metrics.gold_answer(F.col("k"), F.col("v"))).collect() == [("a",), ("a; b",)]
+
+
+def test_writing_the_vocabulary(spark):
+    c = small_catalog(spark)
+    told = spark.createDataFrame([("g", "u", 1, "New A", "root"), ("g", "u", 2, "new_a", "root"), ("g", "u", 3, "b", "nowhere"), ("g", "u", 4, "new b", "Root"), ("g", "u", 5, "root", "x"), ("g", "u", 6, "new_c", "root"), ("g", "u", 7, "", "root")], "g string, unit string, seq int, code string, parent string")
+    got = {r["seq"]: (r["code"], r["outcome"]) for r in vocabulary.admission(c, told, k=2).collect()}
+    assert got == {1: ("new_a", "admitted"), 2: ("new_a", "touched"), 3: ("b", "rejected"), 4: ("new_b", "admitted"), 5: ("root", "touched"), 6: ("new_c", "folded"), 7: ("", "rejected")}
+    roots = vocabulary.define_roots(c, spark.createDataFrame([("g", "Second Root"), ("g", "root")], "g string, code string"))
+    assert {r["code"] for r in roots.collect()} == {"root", "second_root"}
+    alias = spark.createDataFrame([("g", "The Boss", "ann"), ("g", "boss", "ann"), ("g", "boss", "bob"), ("g", "bob", "ann"), ("g", "x", "gone")], "g string, surface string, code string")
+    assert {(r["surface"], r["code"]) for r in vocabulary.aliased(c, alias, c.entity).collect()} == {("the_boss", "ann")}
+    entity, moved = vocabulary.merge_entities(c, spark.createDataFrame([("g", "bob", "ann")], "g string, loser string, winner string"))
+    assert {r["code"] for r in entity.collect()} == {"ann"} and {(r["surface"], r["code"]) for r in moved.collect()} == {("bob", "ann"), ("bobby", "ann")}
+    rels = spark.createDataFrame([("g", "Ann", "knows", "bobby"), ("g", "ann", "is", "ann"), ("g", "ann", "knows", "gone")], "g string, src string, rel string, dst string")
+    assert {tuple(r) for r in vocabulary.relate(c, rels).collect()} == {("g", "ann", "knows", "bob")}
+
+
+def small_catalog(spark):
+    topic = spark.createDataFrame([("g", "root", None, "canonical", "")], "codebook_id string, code string, parents array<string>, status string, born string")
+    entity = spark.createDataFrame([("g", "ann", "person", "Ann", None), ("g", "bob", "person", "Bob", ["bobby"])], "codebook_id string, code string, etype string, name string, aliases array<string>")
+    one = lambda schema: spark.createDataFrame([], schema)
+    fact = one("codebook_id string, id string, unit string, unit_date string, t string, kind string, who string, conf string, topics array<string>, entities array<string>, src array<string>, obj array<string>, place array<string>, event array<string>, dur string, text string")
+    line = one("codebook_id string, id string, unit string, unit_date string, pos int, who string, text string")
+    unit = one("codebook_id string, id string, date string, t string, title string, dur_min int, n_lines int")
+    return Catalog.of(fact, line, unit, topic, entity, spark.createDataFrame([("g", "ann")], "codebook_id string, speakers string"))
