@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
     + "SELECT DISTINCT p.g, p.unit, p.id, p.place::BIGINT \"at\" FROM p JOIN h ON h.g = p.g AND h.unit = p.unit AND abs(h.place - p.place) = 1 WHERE NOT EXISTS (SELECT 1 FROM ci WHERE ci.g = p.g AND ci.id = p.id)",
     "profile_block": _with(_F, "t1 AS (SELECT *, CASE WHEN len(topics) > 0 THEN topics[1] ELSE 'misc' END topic FROM f WHERE kind IN ('preference', 'identity'))", "t2 AS (SELECT *, row_number() OVER (PARTITION BY g, topic ORDER BY unit_date DESC, id) n FROM t1)", "t3 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY unit_date DESC, id) rank FROM t2 WHERE n = 1)")
     + "SELECT g, topic, id, unit_date, left(text, 150) text, rank::BIGINT rank FROM t3 WHERE rank <= 15",
-    "session_block": _with(
+    "session_dialogues": _with(
         _L, _U, "ui AS (SELECT DISTINCT g, id unit FROM u)", "p AS (SELECT l.*, row_number() OVER (PARTITION BY g, unit ORDER BY pos, id) - 1 place FROM l)",
         "r AS (SELECT p.g, p.unit, id, place, '(' || id || ') ' || who || ': ' lab, '(' || id || ') ' || who || ': ' || text AS row FROM p JOIN ui USING (g, unit))",
         "s AS (SELECT *, sum(length(row) + 1) OVER (PARTITION BY g, unit ORDER BY place ROWS UNBOUNDED PRECEDING) - length(row) - 1 start FROM r)",

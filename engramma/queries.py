@@ -534,6 +534,15 @@ def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_block(spark: SparkSession, d: str) -> DataFrame:
+    """The session that most of a codebook's high-confidence decisions come from, as a dialogue of the reference's 6000 characters."""
+    c = Catalog.read(spark, d)
+    rows = c.fact.where("kind = 'decision' and conf = 'high'").withColumn("qid", F.lit("q")).withColumn("seat", F.row_number().over(W.partitionBy("g").orderBy("id")))
+    b = evidence.session_block(c, evidence.dominant_unit(rows), limit=WHOLESALE)
+    return b.select("g", "unit", "body", F.array_join("shown", " ").alias("shown"))
+
+
+@query
+def session_dialogues(spark: SparkSession, d: str) -> DataFrame:
     """Every session as a dialogue of the reference's 6000 characters."""
     c = Catalog.read(spark, d)
     units = c.unit.select(F.lit("q").alias("qid"), "g", F.col("id").alias("unit")).distinct()
