@@ -9,7 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engramma.catalog import Catalog
-from engramma.session import cut
+from engramma.session import cut, stored
+
+#: Codes of a codebook up to which merge candidates are sought among all its pairs.
+PAIRS_MAX = 1000
+#: Triples of characters in large codebooks, a row each, up to which they are sent to every worker; beyond, a shuffle join.
+TRIPLES_MAX = 200_000
+_TRIPLES = 1 << 24
 
 
 def closure(c: Catalog, seeds: DataFrame, depth: int = 3, width: int = 40, candidates: bool = True) -> DataFrame:
@@ -93,18 +99,67 @@ def entity_merge_candidates(c: Catalog, min_len: int = 2) -> DataFrame:
     """(g, a, b), a < b: codes without digits of which one contains the other (three characters at least), or that differ
     in one character.
 
-    No pair of all codes is formed: a code that contains another has its rarest three characters, and codes that differ
-    in one place are equal with that place left out.
+    The pairs of a codebook of at most ``PAIRS_MAX`` codes are all compared, so that its codes are shuffled once; larger
+    ones go through keys. Keys are many rows a code, which the planner takes to be as small as the codes they are made
+    from; joins of them are never left to it.
+    """
+    codes = stored(c.entity.where(~F.col("code").rlike(r"\d") & (F.length("code") >= min_len)).select("g", "code", F.length("code").alias("size")), "merge_codes")
+    large = stored(codes.groupBy("g").count().where(F.col("count") > PAIRS_MAX).select("g"), "merge_large")
+    if large.isEmpty():
+        return _compared(codes)
+    return _compared(codes.join(large, "g", "left_anti")).unionByName(_keyed(codes.join(large, "g", "left_semi")))
+
+
+def _compared(codes: DataFrame) -> DataFrame:
+    """(g, a, b): the merge candidates among codes (g, code, size), of all pairs of a codebook."""
+    a, b = codes.toDF("g", "a", "size_a"), codes.toDF("g", "b", "size_b")
+    held = lambda short, long: (F.col(f"size_{short}") >= 3) & F.contains(F.col(long), F.col(short))
+    # of strings of one length those at edit distance 1 differ in one place
+    like = F.when(F.col("size_a") < F.col("size_b"), held("a", "b")).when(F.col("size_a") > F.col("size_b"), held("b", "a")).otherwise(F.levenshtein("a", "b", 1) == 1)
+    return a.join(b.hint("merge"), "g").where((F.col("a") < F.col("b")) & like).select("g", "a", "b").distinct()
+
+
+def _keyed(codes: DataFrame) -> DataFrame:
+    """What :func:`_compared` finds, without all pairs: codes that differ in one place have two thirds in common, and a code
+    that contains another has its rarest three characters."""
+    return _near(codes).unionByName(_held(codes)).distinct()
+
+
+def _near(codes: DataFrame) -> DataFrame:
+    """(g, a, b): codes that differ in one character. Those that are equal without a third of them are compared; where
+    these are more than ``PAIRS_MAX``, they are equal without one place of that third."""
+    thirds = codes.select("g", "code", "size", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("third"))
+    before, upto = ((F.floor(F.col("size") * (F.col("third") + k) / 3)).cast("int") for k in (0, 1))
+    without = lambda lo, hi: (F.substring("code", F.lit(1), lo), F.substring("code", hi + 1, F.col("size")))
+    keyed = thirds.where(before < upto).withColumn("key", F.xxhash64("g", "size", "third", *without(before, upto)))
+    crowd = stored(keyed.groupBy("key").count().where(F.col("count") > PAIRS_MAX).select("key"), "merge_crowd")
+    crowded = not crowd.isEmpty()
+    calm = keyed.join(crowd, "key", "left_anti") if crowded else keyed
+    a, b = (calm.select("g", "key", F.col("code").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    near = a.join(b.hint("merge"), ["g", "key"]).where((F.col("a") < F.col("b")) & (F.col("size_a") == F.col("size_b")) & (F.levenshtein("a", "b", 1) == 1)).select("g", "a", "b")
+    if not crowded:
+        return near
+    masks = F.transform(F.sequence(before + 1, upto), lambda i: F.concat_ws("\u0000", i.cast("string"), *without(i - 1, i)))
+    masked = keyed.join(crowd, "key", "left_semi").select("g", "code", F.explode(masks).alias("rest"))
+    equal = masked.toDF("g", "a", "rest").join(masked.toDF("g", "b", "rest").hint("merge"), ["g", "rest"]).where("a < b and length(a) = length(b)").select("g", "a", "b")
+    return near.unionByName(equal)
+
+
+def _held(codes: DataFrame) -> DataFrame:
+    """(g, a, b): codes of which one contains the other; the shorter has three characters at least.
+
+    Triples are numbers of 24 bits, which a few may share. A code is looked for by its rarest one, and among the triples
+    of all codes only by those that some code is looked for by.
     """
-    codes = c.entity.where(~F.col("code").rlike(r"\d") & (F.length("code") >= min_len)).select("g", "code")
-    place = F.sequence(F.lit(1), F.length("code"))
-    masked = codes.select("g", "code", F.explode(F.transform(place, lambda i: F.concat_ws("\u0000", i.cast("string"), F.substring("code", F.lit(1), i - 1), F.substring("code", i + 1, F.length("code"))))).alias("key"))
-    near = masked.toDF("g", "a", "key").join(masked.toDF("g", "b", "key"), ["g", "key"]).where("a < b and length(a) = length(b)").select("g", "a", "b")
-    grams = codes.where("length(code) >= 3").select("g", "code", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("code") - 2), lambda i: F.substring("code", i, F.lit(3))))).alias("gram"))
-    rarity = grams.groupBy("g", "gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(rarity, ["g", "gram"]).groupBy("g", "code").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    held = rarest.toDF("g", "short", "gram").join(grams.toDF("g", "long", "gram"), ["g", "gram"]).where("short <> long and contains(long, short)").select("g", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
-    return near.unionByName(held).distinct()
+    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size") - 2), lambda i: F.xxhash64(F.substring("code", i, F.lit(3))).bitwiseAND(F.lit(_TRIPLES - 1))))
+    grams = codes.where("size >= 3").select("g", "code", F.explode(triples).alias("gram"))
+    rarity = stored(grams.groupBy("g", "gram").agg(F.count("*").alias("n")), "merge_rarity")
+    how = "broadcast" if rarity.count() <= TRIPLES_MAX else "merge"
+    rarest = stored(grams.join(rarity.hint(how), ["g", "gram"]).groupBy("g", "code").agg((F.min(F.col("n") * _TRIPLES + F.col("gram")) % _TRIPLES).alias("gram")), "merge_rarest")
+    sought = stored(rarest.select("g", "gram").distinct(), "merge_sought")
+    long = grams.join(sought.hint(how), ["g", "gram"], "left_semi").select("g", "gram", F.col("code").alias("long"))
+    found = rarest.withColumnRenamed("code", "short").join(long.hint("merge"), ["g", "gram"]).where("octet_length(short) < octet_length(long) and contains(long, short)")
+    return found.select("g", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
 
 
 def taxonomy_problems(c: Catalog) -> DataFrame:

@@ -89,6 +89,26 @@ def test_merge_candidates_against_all_pairs(spark, c):
     assert rows(vocabulary.entity_merge_candidates(c2), "a", "b") == want
 
 
+def test_merge_candidates_broadcast_no_keys(spark, small, monkeypatch):
+    c = Catalog.read(spark, small)
+    want = set()
+    known = {}
+    for r in c.entity.select("g", "code").collect():
+        known.setdefault(r["g"], []).append(r["code"])
+    for g, every in known.items():
+        codes = sorted(x for x in every if len(x) > 1 and not any("0" <= ch <= "9" for ch in x))
+        for i, a in enumerate(codes):
+            want |= {(g, a, b) for b in codes[i + 1 :] if ((a in b or b in a) and min(len(a), len(b)) > 2) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1)}
+    # all codebooks compared, some, none; triples sent to every worker or not
+    for most, triples in ((1000, 0), (25, 10**6), (25, 0), (1, 10**6), (0, 0)):
+        monkeypatch.setattr(vocabulary, "PAIRS_MAX", most, raising=False)
+        monkeypatch.setattr(vocabulary, "TRIPLES_MAX", triples, raising=False)
+        got = vocabulary.entity_merge_candidates(c)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftAnti" not in x and "LeftSemi" not in x]
+        assert sorted(tuple(r) for r in got.select("g", "a", "b").collect()) == sorted(want)
+
+
 def test_premises(spark, c):
     q = spark.createDataFrame([("1", "g0", "What did Zanzibar say to Monday and Piano in May?"), ("2", "g0", "Who?"), ("3", "g0", "Zanzibar went. Then Zanzibar's aunt?")], "qid string, g string, question string")
     known = spark.createDataFrame([("g0", "piano")], "g string, stem string")
